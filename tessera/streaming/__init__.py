@@ -1,0 +1 @@
+"""Streams: an index is rebuilt as a whole, so that this package holds nothing yet."""

@@ -47,7 +47,7 @@ def _deal_giants(giants: list[tuple[str, int]], capacity: int, shards: int) -> d
 def propagate(state: DataFrame, taken: dict[int, int], capacity: int, shards: int) -> tuple[DataFrame, dict[int, int]]:
     """Rounds of label propagation on (gid, first, shard, n): parts of groups with the shard they began in and are in.
 
-    In each round every part wants to be where most of its group is. Wants are admitted in lots, by a hash that changes each round,
+    In each round every part wants to be where most of its group is, among the shards with room; ties fall anew each round. Wants are admitted in lots, by a hash that changes each round,
     as long as the target's quota (capacity less what it holds) lasts. Returns the last state and each shard's load.
     """
     at = Stored(state, "sharding-state")
@@ -58,7 +58,8 @@ def propagate(state: DataFrame, taken: dict[int, int], capacity: int, shards: in
         for r in now.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # one row a shard
             load[r.shard] += r.n
         sizes = now.groupBy("gid", "shard").agg(F.sum("n").alias("n"))
-        best = sizes.groupBy("gid").agg(F.max(F.struct("n", F.pmod(F.xxhash64("gid", "shard"), F.lit(STEPS)), "shard")).alias("b")).select(F.col("gid").alias("g"), F.col("b.shard").alias("to"))
+        room = F.element_at(F.array(*[F.lit(load[s] < capacity) for s in range(shards)]), F.col("shard") + 1)
+        best = sizes.groupBy("gid").agg(F.max(F.struct(room.alias("room"), "n", F.xxhash64("gid", "shard", F.lit(step)), "shard")).alias("b")).select(F.col("gid").alias("g"), F.col("b.shard").alias("to"))
         lot = F.pmod(F.xxhash64("gid", F.lit(step)), F.lit(LOTS)).cast("int")
         wants = now.join(best, now.gid == best.g).select("gid", "first", "shard", "n", "to", lot.alias("lot"))
         wants = Stored(wants, "sharding-wants")
@@ -99,13 +100,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", id_col: str
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     gid = F.sha2(t.cast("binary"), 256) if link is None else F.sha2(link.cast("string").cast("binary"), 256)
     base = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(t).cast("long") + 1).alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.coalesce(gid, F.uuid()).alias("gid"))
-    rows = Stored(base.withColumn("first", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(shards)).cast("int")), "sharding-rows").read()
+    rows = Stored(base, "sharding-rows").read()
     sizes = Stored(rows.groupBy("gid").agg(F.count(F.lit(1)).alias("total")).where("total > 1"), "sharding-groups").read()
     n = rows.count()
     capacity = -(-n // shards)
     giants = [(r.gid, r.total) for r in sizes.where(F.col("total") * GIANT > F.lit(capacity)).collect()]  # fewer than GIANT * shards, and pairs in tiny tables
     dealt = _deal_giants(giants, capacity, shards)
     taken = {s: round(sum(x for parts in dealt.values() for k, x in parts if k == s)) for s in range(shards)}
+    rows = rows.withColumn("first", _by_share([(s, capacity - taken[s]) for s in range(shards)], F.concat_ws("-", F.lit("first"), F.col("doc_id").cast("string"))))
     names = sorted(dealt)
     is_giant = F.col("gid").isin(names) if names else F.lit(False)
     linked = rows.where(~is_giant).join(sizes.select("gid"), "gid", "left_semi")

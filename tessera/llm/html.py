@@ -28,21 +28,21 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea noscript template iframe svg math select option object canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
-    "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("body button caption head html tbody td tfoot th thead tr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
 #: Elements, and words of class, id and role, that are not the article's own.
-ASIDE_TAGS = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "menu": "nav", "dialog": "notice", "fieldset": "form"}
+ASIDE_TAGS = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "menu": "nav", "dialog": "notice", "fieldset": "form", "search": "form"}
 ASIDE_NAMES = {
-    **dict.fromkeys("nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar toc".split(), "nav"),
+    **dict.fromkeys("nav navbar navigation navlinks topnav sidenav subnav mainnav leftnav rightnav menu menubar submenu breadcrumb breadcrumbs pagination pager toolbar toc skip".split(), "nav"),
     **dict.fromkeys("header masthead topbar".split(), "header"),
     **dict.fromkeys("footer copyright contentinfo imprint legal".split(), "footer"),
     **dict.fromkeys("sidebar aside related widget widgets share sharing social complementary recommended trending promo teaser".split(), "aside"),
-    **dict.fromkeys("ad ads adv advert adverts advertisement advertising banner sponsor sponsored".split(), "ad"),
-    **dict.fromkeys("cookie cookies consent gdpr notice popup modal overlay alert disclaimer newsletter subscribe paywall".split(), "notice"),
-    **dict.fromkeys("comment comments reply replies disqus respond".split(), "comment"),
+    **dict.fromkeys("ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot adunit adbanner banner sponsor sponsored sponsors".split(), "ad"),
+    **dict.fromkeys("cookie cookies consent gdpr notice notices notification notifications popup modal overlay alert alerts disclaimer newsletter subscribe subscription paywall".split(), "notice"),
+    **dict.fromkeys("comment comments commentlist commentform reply replies disqus respond responses discussion".split(), "comment"),
     **dict.fromkeys("form login signin signup search".split(), "form"),
 }
 

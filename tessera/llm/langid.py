@@ -68,7 +68,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
-        if not words or not self.langs:
+        if not words or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0
         if not hasattr(self, "rows"):
             self.start()

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ LENGTH = 2048
 END_ID = 1
 BUCKETS, DIMENSIONS, BITS, SEED = 1024, 3, 13, 20_240_601
 #: Entries of a worker's word cache; a full cache starts anew.
-CACHE = 250_000
+CACHE = 400_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -27,32 +30,78 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Words of which the parts are found without the tokenizer's own normalisation: ASCII and precomposed Latin-1 letters, which neither
+#: composition nor lower-casing by character changes otherwise than str.lower does; no added token among them.
+_SIMPLE = re.compile("(?!.*<\\|)[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: The pretokenizer's pattern on such words in lower case.
+_PARTS = re.compile("\\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\na-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+#: Two bytes that are no id, and that no two bytes of neighbouring ids make up, as an id's second byte is smaller.
+BREAK = b"\xff\xff"
+
+
 class WordCache:
     """Encodes text word by word: the tokenizer splits at white space, so that the ids of a text are those of its words.
 
-    A word's ids are kept as little-endian bytes of two bytes an id; a text's ids are then one join.
+    A word's ids are kept as little-endian bytes of two bytes an id; a text's ids are then one join. Half of the cache, the first words
+    met and so the frequent ones, stays for good; what comes later makes room when the cache is full.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids need more than two bytes")
+        if self.tokenizer.get_vocab_size() > 0xFF00:
+            raise ValueError("ids need more than two bytes, or meet BREAK")
+        self.parse = self.tokenizer.model.tokenize
+        self.parts: dict[str, bytes] = {}
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (*range(0xDF, 0xF7), *range(0xF8, 0x100))}
+        probe = "The 2nd WORD's \u00e9t\u00c9, n\u00f1-x** it'll"
+        self.simple = self._simple(probe.split()) == self._whole(probe.split())  # else the file holds another kind of tokenizer
         self.known: dict[bytes, bytes] = {}
+        self.later: list[bytes] = []
+
+    def _simple(self, words: list[str]) -> list[bytes]:
+        """Ids of simple words, by their parts; each part that isn't known yet is parsed once."""
+        parts, known = _PARTS.findall("\n".join([*words, ""]).lower()), self.parts
+        new = set(parts).difference(known)
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = set(parts)
+        known["\n"] = BREAK
+        for p in new - {"\n"}:
+            tokens = self.parse(p if p.isascii() else p.translate(self.bytes))
+            known[p] = pack_ids(f"<{len(tokens)}H", *[t.id for t in tokens])
+        return b"".join(map(known.__getitem__, parts)).split(BREAK)[:-1]
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        for i in range(0, len(new), 4096):
+            words = [w.decode() for w in new[i : i + 4096]]
+            is_simple = [self.simple and _SIMPLE.fullmatch(w) is not None for w in words]
+            for own, encode in ((True, self._simple), (False, self._whole)):
+                at = [k for k, x in enumerate(is_simple) if x == own]
+                self.known.update(zip((new[i + k] for k in at), encode([words[k] for k in at]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text."""
         split = [t.split() for t in texts]  # bytes: ASCII white space
-        new = list({w for ws in split for w in ws if w not in self.known})
+        met = set(chain.from_iterable(split))
+        new = list(met.difference(self.known))
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list({w for ws in split for w in ws})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u2").tobytes()
+            for w in self.later:
+                del self.known[w]
+            self.later = []
+            met = set(chain.from_iterable(split))
+        new = list(met.difference(self.known))
+        if len(self.known) + len(new) > CACHE // 2:
+            self.later += new
+        self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 PACKAGE = Path(__file__).resolve().parent.parent
 
@@ -21,7 +22,7 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in every Python worker and bounds the rows of an Arrow batch.
+    """Makes this package importable in every Python worker and bounds the rows and bytes of an Arrow batch.
 
     Executors share no folder with the driver, so the package travels as a zip through Spark's own file server.
     Batches are small because a row may be a very long text.
@@ -36,6 +37,7 @@ def ship(spark: SparkSession) -> None:
         sc.addPyFile(path)
         sc._tessera_shipped = path
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -62,6 +64,7 @@ class Stored:
         self.path = f"{shared_folder(self.spark)}/tessera-{name}-{uuid.uuid4().hex}"
         df.write.option("compression", codec).parquet(self.path)
         self.schema = df.schema
+        _tables(self.spark).append(self)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
@@ -69,19 +72,24 @@ class Stored:
     def drop(self) -> None:
         fs, at = _files(self.spark, self.path)
         fs.delete(at, True)
+        _tables(self.spark).remove(self)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    return Stored(df, name).read()
+def _tables(spark: SparkSession) -> list[Stored]:
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_tables", None) is None:
+        sc._tessera_tables = []
+    return sc._tessera_tables
+
 
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes the tables that operators have stored in this session. Results that aren't written or collected by then are lost."""
+    for table in list(_tables(spark)):
+        table.drop()
 
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that no column of df has, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    name = stem
-    while name.lower() in taken:
-        name = f"{stem}_{uuid.uuid4().hex[:8]}"
-    return name
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return Stored(df, name).read()
 
 
 def bucket_of(doc_id: str | Column, n: int) -> Column:
@@ -98,11 +106,7 @@ def running_order(df: DataFrame, keys: list[str], weight: str | None, partitions
     Returns the table and the grand total.
     """
     columns = list(df.columns)
-    schema = df.schema
-    out = schema.jsonValue()
-    from pyspark.sql.types import IntegerType, LongType, StructType
-
-    out = StructType(list(schema.fields)).add("part", IntegerType()).add("local", LongType())
+    out = StructType(list(df.schema.fields)).add("part", IntegerType()).add("local", LongType())
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

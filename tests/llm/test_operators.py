@@ -331,3 +331,14 @@ def test_pipeline(spark, docs, labels, tmp_path):
 def test_registry():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert {int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES} == set(range(1, 11))
+
+
+def test_stored_tables_go(spark):
+    from tessera.llm import common
+
+    table = common.Stored(spark.range(3).toDF("x"), "test")
+    assert table.read().count() == 3 and table in common._tables(spark)
+    common.drop_stored(spark)
+    assert not common._tables(spark)
+    fs, at = common._files(spark, table.path)
+    assert not fs.exists(at)

@@ -1,20 +1,30 @@
-"""Gapless ids in a given order without sorting all rows in one task."""
+"""Gapless ids in a given order without sorting all rows, or all groups of them, in one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets that are summed together, and first characters that text buckets share then.
+COARSE, COARSE_PREFIX = 4096, 4
+
+
+def _starts(sizes: DataFrame, keys: list[str], key: str, name: str) -> DataFrame:
+    """Adds the running sum of _n before each row, in the order of key within keys."""
+    window = Window.partitionBy(*keys).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn(name, F.coalesce(F.sum("_n").over(window), F.lit(0)))
+
 
 def gapless_ids(df: DataFrame, bucket: Column, order: list[str], name: str = "id") -> DataFrame:
     """Adds ids from 1 in the order of (bucket, *order). bucket must not fall as order rises.
 
-    Rows are numbered in each bucket; buckets only send their sizes to the running sum, so that choose them small (a range of
-    the leading key) and the rows of the only unpartitioned window are as few as the buckets.
+    Rows are numbered in each bucket; choose buckets small (a range or prefix of the leading key). Sizes of buckets are summed within coarse
+    buckets, and only the sizes of those, one row for thousands of buckets, meet in a window without partitions.
     """
     b = df.withColumn("_bucket", bucket)
-    sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    coarse = F.substring("_bucket", 1, COARSE_PREFIX) if dict(b.dtypes)["_bucket"] == "string" else F.floor(F.col("_bucket") / COARSE)
+    sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_coarse", coarse)
+    wide = _starts(sizes.groupBy("_coarse").agg(F.sum("_n").alias("_n")), [], "_coarse", "_before").drop("_n")
+    starts = _starts(sizes, ["_coarse"], "_bucket", "_start").join(wide, "_coarse").select("_bucket", (F.col("_start") + F.col("_before")).alias("_start"))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     return b.withColumn("_own", own).join(starts, "_bucket").withColumn(name, F.col("_start") + F.col("_own").cast("long")).drop("_bucket", "_own", "_start")

@@ -85,8 +85,9 @@ def test_paths(spark):
 
 
 def test_gapless_ids(spark):
-    df = spark.createDataFrame([(i // 3, i) for i in random.Random(1).sample(range(50), 50)], "b int, k int")
-    assert [(r.k + 1) for r in gapless_ids(df, F.col("b"), ["k"]).orderBy("id").collect()] == list(range(1, 51))
+    df = spark.createDataFrame([(i * 1500, i) for i in random.Random(1).sample(range(50), 50)], "b int, k int")
+    for bucket in (F.col("b"), F.format_string("%010d", "b")):
+        assert [(r.id, r.k + 1) for r in gapless_ids(df, bucket, ["k"]).orderBy("id").collect()] == [(i, i) for i in range(1, 51)]
 
 
 def queue_search(adjacency, start, max_depth, cap=None):

@@ -78,10 +78,14 @@ class Page:
 def _zone(name: str, attributes: str) -> str:
     if name in ASIDE_TAGS:
         return ASIDE_TAGS[name]
-    if attributes and name not in ("html", "body", *MAIN):
+    if attributes and name not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
-            before = ""
-            for part in _NAME_PARTS.findall(m[2] or m[3] or m[4] or ""):
+            before, parts = "", _NAME_PARTS.findall(m[2] or m[3] or m[4] or "")
+            if name in MAIN:  # an article of its own unless it is a reader's comment
+                if parts and ASIDE_NAMES.get(parts[0].lower()) == "comment":
+                    return "comment"
+                continue
+            for part in parts:
                 if (zone := ASIDE_NAMES.get(part.lower())) and before not in ("with", "has", "no", "without"):
                     return zone
                 before = part.lower()
@@ -146,7 +150,7 @@ def parse(source: str) -> Page:
         if name in VOID:
             continue
         page.elements.append(Element(name, _zone(name, m[3]), len(page.items) - 1))
-        if name in MAIN:
+        if name in MAIN and not page.elements[-1].zone:
             for i in stack:
                 page.elements[i].holds_main = True
         page.elements[-1].inside_main = any(page.elements[i].name in MAIN for i in stack)
@@ -221,7 +225,7 @@ def main_text(source: str | None, weights: dict[str, float] | None = None) -> tu
         return "", 0, 0
     # the region grows to the article or main element that holds most of its words, if there is one
     total = sum(x.words for x in page.items[first:last])
-    own = [e for e in page.elements if e.name in MAIN and sum(x.words for x in page.items[max(first, e.first) : min(last, e.last)]) * 2 > total]
+    own = [e for e in page.elements if e.name in MAIN and not e.zone and sum(x.words for x in page.items[max(first, e.first) : min(last, e.last)]) * 2 > total]
     if own:
         e = min(own, key=lambda e: e.last - e.first)
         first, last = e.first, e.last

@@ -114,6 +114,13 @@ def test_main_text():
         assert html.main_text(labelled)[0] == "\n\n".join(x for x in want if x)
 
 
+def test_comments_as_articles():
+    page = "<main class='page'><article class='post has-comments'><header><h1>Title</h1><p>by someone</p></header><p>The words of the article, quite a few of them here.</p></article><div id='comments'><article class='comment-body'><p>A long comment of a reader, much longer than the article is, with many more words in it than anybody reads.</p></article></div></main>"
+    assert html.main_text(page)[0] == "Title\n\nThe words of the article, quite a few of them here."
+    page = "<div class='page-with-sidebar'><h1>Title</h1><p>Words of it, and some more of them.</p><div class='sidebar'>Not this</div></div>"
+    assert html.main_text(page)[0] == "Title\n\nWords of it, and some more of them."
+
+
 @pytest.mark.parametrize("source", [None, "", "<", "<p", "<!--", "<nav>only a menu</nav>", "<script>x", "</div></p>", '<a href="x>y', "<p " * 500, "\x00<b"])
 def test_odd_pages(source):
     text, start, stop = html.main_text(source)

@@ -164,14 +164,15 @@ def parse(source: str) -> Page:
 
 
 def zone_of(page: Page, item: Item) -> str:
-    """What surrounds an item: an aside zone, a link, or plain. A container of the article is no aside; a heading in an article's header is plain."""
+    """What surrounds an item: an aside zone, a link (in no paragraph), or plain. A container of the article is no aside; a heading in an article's header is plain."""
     for i in item.path:
         e = page.elements[i]
         if e.zone and not e.holds_main:
             heading = e.zone == "header" and e.inside_main and any(page.elements[k].name in HEADINGS for k in item.path)
             if not heading:
                 return e.zone
-    return "link" if any(page.elements[i].name == "a" for i in item.path) else "plain"
+    names = [page.elements[i].name for i in item.path]
+    return "link" if "a" in names and not ("p" in names or "blockquote" in names) else "plain"
 
 
 def fit(pages: Iterable[str]) -> dict[str, float]:

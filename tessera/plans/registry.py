@@ -129,6 +129,30 @@ def _busy_sql(key: str) -> str:
     return f"SELECT {key} FROM dependency_edges WHERE resolved GROUP BY {key} ORDER BY count(*) DESC, {key} LIMIT 1"
 
 
+def _diagram_sql(edges: str, start: str, follow: str, drawn: str, calls: bool) -> str:
+    """A diagram's numbered lines: the searched nodes in order, then each edge, before it the leaf that it meets first."""
+    base = "{x}" if calls else "regexp_extract({x}, '[^/]*$')"
+    label = f"{base} || '()'" if calls else base
+    name = f"translate({base}, '.-', '__')" + ("" if calls else " || '_' || {i}")
+    line = f"'    ' || {name} || '[\"' || {label} || '\"]'"
+    return (
+        f"{SQL}, edges AS ({edges}), followed AS ({follow}), origin AS ({start}),"
+        " walk(depth, node, place) AS (SELECT 0, node, CAST([] AS BIGINT[]) FROM origin"
+        f" UNION SELECT depth + 1, t, list_append(place, ord) FROM walk JOIN followed ON s = node WHERE depth < {DEPTH - 1}),"
+        " nodes AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node), places AS (SELECT depth, node, min(place) AS place FROM walk JOIN nodes USING (depth, node) GROUP BY ALL),"
+        " steps AS (SELECT node, row_number() OVER (ORDER BY depth, place) - 1 AS i FROM places),"
+        f" drawn AS (SELECT i, s, t, row_number() OVER (ORDER BY i, ord) AS e FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ord) AS k FROM edges) JOIN steps ON s = node{drawn}),"
+        " leaves AS (SELECT t AS node, e, (SELECT count(*) FROM steps) + row_number() OVER (ORDER BY e) - 1 AS i FROM (SELECT t, min(e) AS e FROM drawn WHERE t NOT IN (SELECT node FROM steps) GROUP BY t)),"
+        f" named AS (SELECT node, {name.format(x='node', i='i')} AS name FROM (SELECT node, i FROM steps UNION ALL SELECT node, i FROM leaves)),"
+        " lines AS (SELECT 0 AS a, 0 AS b, 0 AS c, '```mermaid' AS line UNION ALL SELECT 0, 1, 0, 'graph TD'"
+        f" UNION ALL SELECT 1, i, 0, {line.format(x='node', i='i')} FROM steps UNION ALL SELECT 2, e, 0, {line.format(x='node', i='i')} FROM leaves"
+        " UNION ALL SELECT 2, e, 1, '    ' || p.name || ' --> ' || q.name FROM drawn JOIN named p ON p.node = s JOIN named q ON q.node = t UNION ALL SELECT 3, 0, 0, '```')"
+        " SELECT row_number() OVER (ORDER BY a, b, c) AS line_no, line FROM lines"
+    )
+
+
+_CALLS = "SELECT caller AS s, callee AS t, ord FROM call_pairs"
+_FOLLOWED_CALLS = f"SELECT s, t, ord FROM (SELECT s, t, ord, row_number() OVER (PARTITION BY s ORDER BY ord) AS k FROM edges) WHERE k <= {graph.CALL_FAN_OUT}"
 _SYMBOLS = "FROM symbols s JOIN files f ON f.id = s.file_id"
 _IMPORTS = "FROM imports i JOIN files f ON f.id = i.file_id"
 _IMPORT_COLUMNS = "i.id, f.rel_path AS importer, i.symbol_name, i.source_path"
@@ -160,8 +184,7 @@ ORACLE_SQL: dict[str, str] = {
     "dep_graph": f"{SQL} SELECT source_rel AS node, {_ORDER.format(s='source_rel')} AS pos, target_rel AS neighbour FROM dep_paths",
     "reverse_dep_graph": f"{SQL} SELECT target_rel AS node, {_ORDER.format(s='target_rel')} AS pos, source_rel AS neighbour FROM dep_paths",
     "call_chain_bfs": _bfs_sql(
-        "SELECT caller AS s, callee AS t, ord FROM call_pairs", f"SELECT '{CALL_START}' AS node", "n_callees",
-        f"SELECT s, t FROM (SELECT s, t, row_number() OVER (PARTITION BY s ORDER BY ord) AS k FROM edges) WHERE k <= {graph.CALL_FAN_OUT}",
+        _CALLS, f"SELECT '{CALL_START}' AS node", "n_callees", _FOLLOWED_CALLS,
     ),
     "upstream_bfs": _bfs_sql("SELECT target_rel AS s, source_rel AS t, id AS ord FROM dep_paths", f"SELECT rel_path AS node FROM files WHERE id = ({_busy_sql('target_file_id')})", "n_neighbours"),
     "downstream_bfs": _bfs_sql("SELECT source_rel AS s, target_rel AS t, id AS ord FROM dep_paths", f"SELECT rel_path AS node FROM files WHERE id = ({_busy_sql('source_file_id')})", "n_neighbours"),
@@ -171,6 +194,8 @@ ORACLE_SQL: dict[str, str] = {
         " nodes AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node), places AS (SELECT depth, node, min(place) AS place FROM walk JOIN nodes USING (depth, node) GROUP BY ALL)"
         " SELECT depth, row_number() OVER (PARTITION BY depth ORDER BY place) AS rank, node FROM places"
     ),
+    "mermaid_deps": _diagram_sql("SELECT source_rel AS s, target_rel AS t, id AS ord FROM dep_paths", f"SELECT rel_path AS node FROM files WHERE id = ({_busy_sql('source_file_id')})", "SELECT s, t, ord FROM edges", "", False),
+    "mermaid_calls": _diagram_sql(_CALLS, f"SELECT '{CALL_START}' AS node", _FOLLOWED_CALLS, f" WHERE k <= {render.CALL_LIMIT}", True),
     "resolve_alias_prefix": f"{SQL} SELECT id, CASE WHEN starts_with(source_path, '@') THEN {_PATH} END AS resolved_rel FROM imports",
     "resolve_first_candidate": f"{SQL} SELECT id, {_PATH} || coalesce({_HIT}, '') AS resolved_path, {_HIT} IS NOT NULL AS hit FROM imports",
     "dep_edges_from_imports": f"{SQL} SELECT file_id, {_HIT} IS NOT NULL AS resolved, count(*) AS n FROM imports GROUP BY ALL",

@@ -17,7 +17,7 @@ from tessera.llm.common import Stored, bucket_of, ship, shuffle_partitions
 #: Of the crc32 of doc_id modulo FOLDS: documents that are not learned from, and learned documents whose counts EM holds out.
 FOLDS, TEST, DELETED = 5, 1, 0
 #: Tokens that close a block: the unit that is counted, asked for and scored at once.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: N-grams that one counting group takes (about; groups are hash ranges, so they are even).
 GROUP_ENTRIES = 2_000_000
 #: Context frequencies are bucketed by powers of two.
@@ -255,7 +255,7 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
     needed = blocks.select("block", "deleted", "doc_id", "fold", "n", "hashes", "ids")
     replies = answers.where("block >= 0").select("block", "gram", "part", "kept", "deleted")
     held = needed.where("deleted")
-    tallied = held.groupBy("block").cogroup(replies.join(F.broadcast(held.select("block")), "block", "left_semi").groupBy("block")).applyInArrow(tally, "bucket long, word long, pair long, n long")  # a number for each block of two million tokens
+    tallied = held.groupBy("block").cogroup(replies.join(F.broadcast(held.select("block")), "block", "left_semi").groupBy("block")).applyInArrow(tally, "bucket long, word long, pair long, n long")  # a number for each block
     histogram = np.array([tuple(r) for r in tallied.groupBy("bucket", "word", "pair").agg(F.sum("n")).collect()], np.int64).reshape(-1, 4)  # quantised: bounded
     weights = learn_weights(histogram)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bucket_of, ship
 
 #: Labelled documents that are learned from at most (in expectation; they are chosen by a hash of their id).
-MAX_TRAINING_DOCUMENTS = 12_000
+MAX_TRAINING_DOCUMENTS = 8_000
 #: A word or n-gram is known if the training documents hold it so often.
 LEAST_COUNT = 3
 LONGEST = 5

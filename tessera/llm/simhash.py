@@ -234,11 +234,20 @@ def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     return table.join(of, table.fp == of.of_fp).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius: int = 2) -> DataFrame:
+def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius: int = 2, similarity: float | None = None, width: int | None = None) -> DataFrame:
     """The rows of docs that stay: one of each component, that with the smallest id; all columns of docs, no others.
 
+    Links: fingerprints (of three words) within radius bits or, with a similarity, sets of shingles (of five words) of that Jaccard similarity or more.
     Of rows that share an id, one stays. Rows without an id are one document each for linking and stay, once, if nothing with an id links to them.
     """
-    found = simhash_components(docs, text, id_col, radius)
+    if similarity is None:
+        found = simhash_components(docs, text, id_col, radius, width or 3)
+    else:
+        from tessera.llm.similar import similar_components
+
+        rows = Stored(docs.withColumn("_tessera_row", F.monotonically_increasing_id()), "documents").read()
+        of = similar_components(rows.select(F.col("_tessera_row").alias("node"), text), text, width or 5, similarity)
+        named = rows.select(F.col("_tessera_row").alias("node"), F.col(id_col).alias("doc_id")).join(of, "node")
+        found = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates([id_col])

@@ -342,3 +342,29 @@ def test_stored_tables_go(spark):
     assert not common._tables(spark)
     fs, at = common._files(spark, table.path)
     assert not fs.exists(at)
+
+
+def test_similar_documents_are_near_copies(spark, monkeypatch):
+    """Five words, 0.8: equal to brute force, far beyond two bits of a fingerprint."""
+    from tessera.llm import similar
+
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 120))) for _ in range(40)] + ["", None, " ", "One two", "one two", "same " * 30]
+    for t in texts[:40]:
+        for k in (1, 2, 3, 4):
+            w = t.split()
+            for at in rng.integers(0, len(w), k):
+                w[at] = "new"
+            texts.append(" ".join(w))
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    sets = [set(similar.shingle_set((t or "").encode(), 5).tolist()) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if not sets[i] | sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = components_of(links, range(len(texts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
+    want = sorted({*root.values()})
+    for n in (20_000, 30):
+        monkeypatch.setattr(similar, "ORDER_DOCUMENTS", n)
+        kept = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
+    assert len(want) < simhash.drop_near_copies(docs).count()

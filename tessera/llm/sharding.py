@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Stored, running_order, shuffle_partitions
 
 SHARDS = 8
-MOST_ROUNDS = 6
+#: Rounds in a row without fewer split groups, each under new lots, after which what is split counts as settled.
+PATIENCE = 6
 #: Groups with over a quarter of a shard's rows are dealt by the driver; fewer than four a shard can exist.
 GIANT = 4
-#: Lots in which a round's moves are admitted: the driver sees one row a shard and lot.
+#: Lots in which a round's moves are admitted, shared among the shards they come from: the driver sees one row a pair of shards and lot.
 LOTS = 1024
+#: A shard may pass its quota by one row in so many during the rounds, so that full shards can exchange parts of unequal size.
+SLACK = 100
 STEPS = 1_000_000
 
 
@@ -44,47 +47,84 @@ def _deal_giants(giants: list[tuple[str, int]], capacity: int, shards: int) -> d
     return out
 
 
+def _admit(asked: dict[tuple[int, int], list[tuple[int, int]]], free: dict[int, int]) -> dict[tuple[int, int], int]:
+    """The last lot admitted of each pair (from, to), -1 for none. asked: lots with their rows; free: what each shard has room for.
+
+    Lots of all pairs take turns. A lot moves if its target has room, which those that leave the target make; else it is swapped
+    with the next lot of the opposite direction, if the difference fits.
+    """
+    free, at, out = dict(free), dict.fromkeys(asked, 0), dict.fromkeys(asked, -1)
+
+    def move(pair: tuple[int, int]) -> None:
+        lot, n = asked[pair][at[pair]]
+        free[pair[0]] += n
+        free[pair[1]] -= n
+        at[pair] += 1
+        out[pair] = lot
+
+    again = True
+    while again:
+        again = False
+        for a, b in asked:
+            if at[a, b] == len(asked[a, b]):
+                continue
+            n = asked[a, b][at[a, b]][1]
+            if n <= free[b]:
+                move((a, b))
+            elif at.get((b, a), 0) < len(asked.get((b, a), ())) and n - (m := asked[b, a][at[b, a]][1]) <= max(0, free[b]) and m - n <= max(0, free[a]):
+                move((a, b))
+                move((b, a))
+            else:
+                continue
+            again = True
+    return out
+
+
 def propagate(state: DataFrame, taken: dict[int, int], capacity: int, shards: int) -> tuple[DataFrame, dict[int, int]]:
     """Rounds of label propagation on (gid, first, shard, n): parts of groups with the shard they began in and are in.
 
     In each round every part wants to be where most of its group is, among the shards with room; ties fall anew each round. Wants are admitted in lots, by a hash that changes each round,
-    as long as the target's quota (capacity less what it holds) lasts. Returns the last state and each shard's load.
+    as long as the target's quota (capacity less what it holds) lasts; opposite wants of full shards are swapped. After a round that brought
+    no group together, wants go to any of a group's shards, by hash, so that neither direction is alone. The rounds end when no group is split, or
+    when PATIENCE rounds in a row leave no fewer split. Returns the last state and each shard's load.
     """
     at = Stored(state, "sharding-state")
-    load: dict[int, int] = {}
-    for step in range(MOST_ROUNDS):
+    lots = max(16, LOTS // shards)
+    fewest, idle, step = None, 0, 0
+    while True:
         now = at.read()
         load = {s: taken.get(s, 0) for s in range(shards)}
         for r in now.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # one row a shard
             load[r.shard] += r.n
         sizes = now.groupBy("gid", "shard").agg(F.sum("n").alias("n"))
         room = F.element_at(F.array(*[F.lit(load[s] < capacity) for s in range(shards)]), F.col("shard") + 1)
-        best = sizes.groupBy("gid").agg(F.max(F.struct(room.alias("room"), "n", F.xxhash64("gid", "shard", F.lit(step)), "shard")).alias("b")).select(F.col("gid").alias("g"), F.col("b.shard").alias("to"))
-        lot = F.pmod(F.xxhash64("gid", F.lit(step)), F.lit(LOTS)).cast("int")
+        weight = F.lit(0).cast("long") if idle else F.col("n")
+        best = sizes.groupBy("gid").agg(F.max(F.struct(room.alias("room"), weight.alias("n"), F.xxhash64("gid", "shard", F.lit(step)), "shard")).alias("b")).select(F.col("gid").alias("g"), F.col("b.shard").alias("to"))
+        lot = F.pmod(F.xxhash64("gid", F.lit(step)), F.lit(lots)).cast("int")
         wants = now.join(best, now.gid == best.g).select("gid", "first", "shard", "n", "to", lot.alias("lot"))
         wants = Stored(wants, "sharding-wants")
-        asked = wants.read().where("shard != to").groupBy("to", "lot").agg(F.sum("n").alias("n")).orderBy("to", "lot").collect()
-        upto = dict.fromkeys(range(shards), -1)
-        free = {s: capacity - load[s] for s in range(shards)}
-        full: set[int] = set()
-        for r in asked:
-            if r.to not in full and r.n <= free[r.to]:
-                free[r.to] -= r.n
-                upto[r.to] = r.lot
-            else:
-                full.add(r.to)
-        limit = F.element_at(F.array(*[F.lit(upto[s]) for s in range(shards)]), F.col("to") + 1)
-        moved = wants.read().select("gid", "first", F.when(F.col("lot") <= limit, F.col("to")).otherwise(F.col("shard")).alias("shard"), "n")
-        if max(upto.values()) < 0:
+        apart = wants.read().where("shard != to").groupBy("gid", "shard", "to", "lot").agg(F.sum("n").alias("n"))
+        rows = apart.groupBy("shard", "to", "lot").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).orderBy("shard", "to", "lot").collect()  # at most lots a pair
+        parts = sum(r.parts for r in rows)  # 0: no group is split
+        if fewest is None or parts < fewest:
+            fewest, idle = parts, 0
+        else:
+            idle += 1
+        if not parts or idle >= PATIENCE:
+            wants.drop()
             break
+        asked: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r in rows:
+            asked.setdefault((r.shard, r.to), []).append((r.lot, r.n))
+        upto = _admit(asked, {s: capacity + max(1, capacity // SLACK) - load[s] for s in range(shards)})
+        limits = F.array(*[F.lit(upto.get((s, t), -1)) for s in range(shards) for t in range(shards)])
+        limit = F.element_at(limits, F.col("shard") * shards + F.col("to") + 1)
+        moved = wants.read().select("gid", "first", F.when(F.col("lot") <= limit, F.col("to")).otherwise(F.col("shard")).alias("shard"), "n")
         old, at = at, Stored(moved, "sharding-state")
         old.drop()
         wants.drop()
-    final = at.read()
-    load = {s: taken.get(s, 0) for s in range(shards)}
-    for r in final.groupBy("shard").agg(F.sum("n").alias("n")).collect():
-        load[r.shard] += r.n
-    return final, load
+        step += 1
+    return at.read(), load
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", id_col: str = "doc_id", link: Column | None = None) -> DataFrame:

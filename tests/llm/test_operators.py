@@ -368,3 +368,20 @@ def test_similar_documents_are_near_copies(spark, monkeypatch):
         kept = corpus_pipeline.near_duplicates(spark, docs, "")
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
     assert len(want) < simhash.drop_near_copies(docs).count()
+
+
+@pytest.mark.parametrize("size", [5, 20])
+def test_groups_come_together_in_full_shards(spark, size):
+    """Where every row has copies, only groups at the shards' borders are split."""
+    n = 8000
+    got = sharding.shard(spark.createDataFrame([(i, f"text {i % (n // size)}") for i in range(n)], "doc_id long, text string"))
+    of = {}
+    for r in got.collect():
+        of.setdefault(r.doc_id % (n // size), set()).add(r.shard)
+    assert sum(len(x) > 1 for x in of.values()) <= 7
+
+
+def test_full_shards_swap():
+    assert sharding._admit({(0, 1): [(0, 5), (3, 4)], (1, 0): [(1, 5)]}, {0: 0, 1: 0}) == {(0, 1): 0, (1, 0): 1}
+    assert sharding._admit({(0, 1): [(0, 5)], (1, 2): [(2, 5)]}, {0: 0, 1: 0, 2: 5}) == {(0, 1): 0, (1, 2): 2}
+    assert sharding._admit({(0, 1): [(0, 5)]}, {0: 0, 1: 4}) == {(0, 1): -1}

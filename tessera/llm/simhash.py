@@ -238,16 +238,17 @@ def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     """The rows of docs that stay: one of each component, that with the smallest id; all columns of docs, no others.
 
     Links: fingerprints (of three words) within radius bits or, with a similarity, sets of shingles (of five words) of that Jaccard similarity or more.
-    Of rows that share an id, one stays. Rows without an id are one document each for linking and stay, once, if nothing with an id links to them.
+    Rows are documents of their own, whatever their ids: rows that share an id, or have none, stay unless they are near copies. Of
+    equal ids in a component the first row stays; one without an id only if no row of its component has one.
     """
+    rows = Stored(docs.withColumn("_tessera_row", F.monotonically_increasing_id()), "documents").read()
+    own = rows.select(F.col("_tessera_row").alias("node"), F.col(id_col).alias("_id"), F.col(text).alias("t"))
     if similarity is None:
-        found = simhash_components(docs, text, id_col, radius, width or 3)
+        of = simhash_components(own, "t", "node", radius, width or 3).select(F.col("doc_id").alias("node"), F.col("component_id").alias("root"))
     else:
         from tessera.llm.similar import similar_components
 
-        rows = Stored(docs.withColumn("_tessera_row", F.monotonically_increasing_id()), "documents").read()
-        of = similar_components(rows.select(F.col("_tessera_row").alias("node"), text), text, width or 5, similarity)
-        named = rows.select(F.col("_tessera_row").alias("node"), F.col(id_col).alias("doc_id")).join(of, "node")
-        found = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates([id_col])
+        of = similar_components(own.select("node", "t"), "t", width or 5, similarity)
+    named = own.select("node", "_id").join(of, "node")
+    keep = named.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "node")).alias("least")).select(F.col("least.node").alias("_tessera_row"))
+    return rows.join(keep, "_tessera_row", "left_semi").select(*docs.columns)

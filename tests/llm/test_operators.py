@@ -385,3 +385,11 @@ def test_full_shards_swap():
     assert sharding._admit({(0, 1): [(0, 5), (3, 4)], (1, 0): [(1, 5)]}, {0: 0, 1: 0}) == {(0, 1): 0, (1, 0): 1}
     assert sharding._admit({(0, 1): [(0, 5)], (1, 2): [(2, 5)]}, {0: 0, 1: 0, 2: 5}) == {(0, 1): 0, (1, 2): 2}
     assert sharding._admit({(0, 1): [(0, 5)]}, {0: 0, 1: 4}) == {(0, 1): -1}
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_rows_that_share_an_id_are_documents(spark, similarity):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (3, c), (7, e), (7, e), (None, e)]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), similarity=similarity)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, a), (None, b), (3, c), (5, d), (7, e)])

@@ -12,8 +12,6 @@ from tessera.llm.common import SPACE
 #: Buckets of each kind of n-gram: single words, pairs of neighbouring words, words' closing characters.
 BUCKETS, KINDS = 8192, 3
 CLOSING = 2
-#: Trusted documents that make the target multinomial at most (in expectation; they are chosen by a hash of their id).
-MAX_TRUSTED_DOCUMENTS = 20_000
 #: Added to each bucket's count.
 SMOOTHING = 1.0
 #: A document stays if its mean log-likelihood ratio is this at least.
@@ -68,17 +66,15 @@ def buckets(w: Column) -> Column:
     return F.concat(one, two, end)
 
 
-def weights(docs: DataFrame, trusted: DataFrame, text: str = "text", id_col: str = "doc_id", most: int = MAX_TRUSTED_DOCUMENTS) -> list[float]:
-    """log(target / raw) of each bucket: target from about `most` trusted documents at most, raw from every document of docs.
+def weights(docs: DataFrame, trusted: DataFrame, text: str = "text", id_col: str = "doc_id") -> list[float]:
+    """log(target / raw) of each bucket: target from every trusted document of docs, raw from every document.
 
-    trusted: a column doc_id. Each task sends at most one row a bucket through the shuffle and the driver gets one row a bucket.
+    trusted: a column doc_id. Each task sends at most one row a bucket through the shuffle and the driver gets one row a bucket. Nothing is
+    broadcast by hint: where the ids are too many for Spark to do so, documents and ids meet by a shuffle, in which null ids spread.
     """
-    ids = trusted.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct()
-    n = ids.count()
-    if n > most:
-        ids = ids.where(F.pmod(F.xxhash64("t_id", F.lit(9)), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    source = docs.select(F.col(id_col).alias("i"), _text(text).alias("t"))
-    marked = source.join(F.broadcast(ids), source.i == ids.t_id, "left")  # at most about `most` ids
+    ids = trusted.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct().select("t_id", F.concat(F.lit("i"), F.col("t_id").cast("string")).alias("t_key"))
+    source = docs.select(F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.concat(F.lit("n"), F.xxhash64(text).cast("string"))).alias("key"), _text(text).alias("t"))
+    marked = source.join(ids, source.key == ids.t_key, "left")
     rows = marked.select(F.col("t_id").isNotNull().cast("long").alias("y"), F.explode(_let(words(F.col("t")), buckets)).alias("b"))
     counts = {r.b: (r.target, r.raw) for r in rows.groupBy("b").agg(F.sum("y").alias("target"), F.count(F.lit(1)).alias("raw")).collect()}
     out = []

@@ -393,3 +393,12 @@ def test_rows_that_share_an_id_are_documents(spark, similarity):
     rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (3, c), (7, e), (7, e), (None, e)]
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), similarity=similarity)
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, a), (None, b), (3, c), (5, d), (7, e)])
+
+
+def test_every_trusted_document_counts(spark):
+    n = 21_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20_500, F.lit("good")).otherwise(F.lit("bad")).alias("text"))
+    got = rules.weights(docs, spark.range(20_500).select(F.col("id").alias("doc_id")))
+    good = spark.range(1).select(F.pmod(F.xxhash64(F.lit("good")), F.lit(rules.BUCKETS))).first()[0]
+    want = math.log((20_500 + 1) / (20_500 + rules.BUCKETS)) - math.log((20_500 + 1) / (n + rules.BUCKETS))
+    assert got[good] == pytest.approx(want, abs=1e-12)

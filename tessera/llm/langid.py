@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bucket_of, ship
 
-#: Labelled documents that are learned from at most (in expectation; they are chosen by a hash of their id).
+#: Labelled documents that are learned from at most (in expectation; they are chosen by a hash of their id), shared among the languages.
 MAX_TRAINING_DOCUMENTS = 8_000
 #: A word or n-gram is known if the training documents hold it so often.
 LEAST_COUNT = 3
 LONGEST = 5
+#: Hashes of ids are cut at one of so many steps.
+HASHES = 1 << 40
 #: Words that a worker remembers besides the model's; a full memory starts anew.
 REMEMBERED = 200_000
 #: Documents count as evidence of so many words at most in the score (never in the prediction).
@@ -88,17 +90,28 @@ class Model:
         return self.langs[best], float(1 / odds.sum())
 
 
+def shares(sizes: dict[str, int], most: int) -> dict[str, float]:
+    """How many documents of each language are learned from: all of the small ones, equally many of the others, `most` at most."""
+    out, left = {}, float(most)
+    for k, lang in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        out[lang] = min(float(sizes[lang]), left / (len(sizes) - k))
+        left -= out[lang]
+    return out
+
+
 def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang", most: int = MAX_TRAINING_DOCUMENTS) -> Model:
     """Learns from text and non-null lang of documents that are not held out (crc32 of the id, modulo 4, is 2).
 
-    At most about `most` documents, chosen by hash, are learned from, with their whole texts; so the model is bounded.
+    At most about `most` documents, chosen by hash, are learned from, with their whole texts; so the model is bounded. A language
+    with fewer documents than its share of `most` is learned from all of them, and leaves the rest to the others.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
     rows = rows.where((bucket_of("i", 4) != 2) & F.col("l").isNotNull())
-    n = rows.select("i", "l").count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64("i", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    if sum(sizes.values()) > most:
+        cuts = [F.when(F.col("l") == l, F.lit(int(HASHES * share / sizes[l]))) for l, share in shares(sizes, most).items() if share < sizes[l]]
+        rows = rows.where(F.pmod(F.xxhash64("i", F.lit(5)), F.lit(HASHES)) < F.coalesce(*cuts, F.lit(HASHES)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, Counter] = {}

@@ -402,3 +402,10 @@ def test_every_trusted_document_counts(spark):
     good = spark.range(1).select(F.pmod(F.xxhash64(F.lit("good")), F.lit(rules.BUCKETS))).first()[0]
     want = math.log((20_500 + 1) / (20_500 + rules.BUCKETS)) - math.log((20_500 + 1) / (n + rules.BUCKETS))
     assert got[good] == pytest.approx(want, abs=1e-12)
+
+
+def test_rare_languages_are_learned(spark):
+    assert langid.shares({"a": 1000, "b": 5, "c": 40}, 90) == {"b": 5, "c": 40, "a": 45}
+    docs = [(i, text_of(3 * i + 1), "en") for i in range(2000)] + [(5000 + i, "xyq zuvq wqqo", "rare") for i in range(12)]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), most=100)
+    assert model.langs == ["en", "rare"] and model.predict("zuvq xyq")[0] == "rare"

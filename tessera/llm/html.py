@@ -224,12 +224,12 @@ def main_text(source: str | None, weights: dict[str, float] | None = None) -> tu
     first, last = best_run(scores)
     if first == last:
         return "", 0, 0
-    # the region grows to the article or main element that holds most of its words, if there is one
+    # the region grows by the article or main element that holds most of its words, if there is one; it never shrinks
     total = sum(x.words for x in page.items[first:last])
     own = [e for e in page.elements if e.name in MAIN and not e.zone and sum(x.words for x in page.items[max(first, e.first) : min(last, e.last)]) * 2 > total]
     if own:
         e = min(own, key=lambda e: e.last - e.first)
-        first, last = e.first, e.last
+        first, last = min(first, e.first), max(last, e.last)
     blocks: list[list[str]] = [[]]
     for item, zone in zip(page.items[first:last], zones[first:last], strict=True):
         if item.tag:

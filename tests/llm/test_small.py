@@ -198,3 +198,10 @@ def test_statistics_of_any_text():
 
 def test_gram_marks():
     assert langid.grams("ab", 1) == ["a", "b"] and langid.grams("ab", 3) == ["\x02ab", "ab\x03"] and Counter(langid.grams("a", 3)) == {"\x02a\x03": 1}
+
+
+def test_region_never_shrinks():
+    body = "words of the article body are here and there are many of them in it " * 3
+    assert html.main_text(f"<main><h1>Title</h1><article><p>{body}</p></article></main>")[0] == f"Title\n\n{body.strip()}"
+    two = html.main_text(f"<body><nav>menu</nav><article><p>{body * 3}</p></article><article><p>{body * 2}</p></article><footer>f</footer></body>")[0]
+    assert two == f"{(body * 3).strip()}\n\n{(body * 2).strip()}"

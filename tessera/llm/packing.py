@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections import defaultdict, deque
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
-from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,8 @@ LENGTH = 2048
 #: The id that ends each document.
 END_ID = 1
 BUCKETS, DIMENSIONS, BITS, SEED = 1024, 3, 13, 20_240_601
-#: Entries of a worker's word cache; a full cache starts anew.
-CACHE = 400_000
+#: Texts are encoded together until they hold so many distinct words, or bytes.
+DISTINCT, TOGETHER = 400_000, 32 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,85 +30,96 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Words of which the parts are found without the tokenizer's own normalisation: ASCII and precomposed Latin-1 letters, which neither
-#: composition nor lower-casing by character changes otherwise than str.lower does; no added token among them.
-_SIMPLE = re.compile("(?!.*<\\|)[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: What simple words don't hold. They are of ASCII and precomposed Latin-1 letters, which neither composition nor lower-casing by
+#: character changes otherwise than str.lower does, and hold no added token; so their parts are found without the tokenizer's own normalisation.
+_ODD = re.compile("[^\\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]|<\\|")
 #: The pretokenizer's pattern on such words in lower case.
 _PARTS = re.compile("\\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\na-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: What marks a part's end in the vocabulary, and the byte that stands for it here; no simple word holds that byte.
+END_MARK, END_BYTE = "</w>", "\x01"
 
 
-#: Two bytes that are no id, and that no two bytes of neighbouring ids make up, as an id's second byte is smaller.
-BREAK = b"\xff\xff"
+class WordEncoder:
+    """Encodes distinct words, many at once: the tokenizer splits at white space, so that the ids of a text are those of its words.
 
-
-class WordCache:
-    """Encodes text word by word: the tokenizer splits at white space, so that the ids of a text are those of its words.
-
-    A word's ids are kept as little-endian bytes of two bytes an id; a text's ids are then one join. Half of the cache, the first words
-    met and so the frequent ones, stays for good; what comes later makes room when the cache is full.
+    Simple words go through a byte-pair encoder over the same vocabulary in which the mark of a part's end is a byte of its own: its merges
+    with a part's last byte come before all others, as in the tokenizer, whose first symbols hold the mark. All other words go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
-        from tokenizers import Tokenizer, pre_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 0xFF00:
-            raise ValueError("ids need more than two bytes, or meet BREAK")
-        self.parse = self.tokenizer.model.tokenize
-        self.parts: dict[str, bytes] = {}
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (*range(0xDF, 0xF7), *range(0xF8, 0x100))}
-        probe = "The 2nd WORD's \u00e9t\u00c9, n\u00f1-x** it'll"
-        self.simple = self._simple(probe.split()) == self._whole(probe.split())  # else the file holds another kind of tokenizer
-        self.known: dict[bytes, bytes] = {}
-        self.later: list[bytes] = []
-
-    def _simple(self, words: list[str]) -> list[bytes]:
-        """Ids of simple words, by their parts; each part that isn't known yet is parsed once."""
-        parts, known = _PARTS.findall("\n".join([*words, ""]).lower()), self.parts
-        new = set(parts).difference(known)
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = set(parts)
-        known["\n"] = BREAK
-        for p in new - {"\n"}:
-            tokens = self.parse(p if p.isascii() else p.translate(self.bytes))
-            known[p] = pack_ids(f"<{len(tokens)}H", *[t.id for t in tokens])
-        return b"".join(map(known.__getitem__, parts)).split(BREAK)[:-1]
-
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        for i in range(0, len(new), 4096):
-            words = [w.decode() for w in new[i : i + 4096]]
-            is_simple = [self.simple and _SIMPLE.fullmatch(w) is not None for w in words]
-            for own, encode in ((True, self._simple), (False, self._whole)):
-                at = [k for k, x in enumerate(is_simple) if x == own]
-                self.known.update(zip((new[i + k] for k in at), encode([words[k] for k in at]), strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each UTF-8 text."""
-        split = [t.split() for t in texts]  # bytes: ASCII white space
-        met = set(chain.from_iterable(split))
-        new = list(met.difference(self.known))
-        if len(self.known) + len(new) > CACHE:
-            for w in self.later:
-                del self.known[w]
-            self.later = []
-            met = set(chain.from_iterable(split))
-        new = list(met.difference(self.known))
-        if len(self.known) + len(new) > CACHE // 2:
-            self.later += new
-        self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        if max(vocabulary.values()) >= 1 << 16:
+            raise ValueError("ids need more than two bytes")
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+        byte_of = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(sorted({*range(256)}.difference(plain)))}
+        ranks = {}
+        for token, i in vocabulary.items():
+            ends = token.endswith(END_MARK)
+            ranks[bytes(map(byte_of.__getitem__, token[: -len(END_MARK)] if ends else token)) + END_BYTE.encode() * ends] = i
+        self.line = ranks[b"\n" + END_BYTE.encode()]
+        self.parse = tiktoken.Encoding("words", pat_str=f"[^{END_BYTE}]+{END_BYTE}", mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        probe = "The 2nd WORD's \u00e9t\u00c9, n\u00f1-x** it'll".split()
+        self.simple = all((a == b).all() for a, b in zip(self._simple(probe), self._whole(probe), strict=True))  # else the file holds another kind of tokenizer
+
+    def _simple(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        ids = self.parse(END_BYTE.join(_PARTS.findall("\n".join([*words, ""]).lower())) + END_BYTE) if words else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(ids == self.line)
+        return ids[ids != self.line].astype("<u2"), np.diff(ends, prepend=-1) - 1
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(ids)), "<u2"), np.array(list(map(len, ids)), np.int64)
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of UTF-8 words one behind the other in any order; where each word's begin, and how many it has."""
+        joined = b"\n".join(words).decode()
+        texts = joined.split("\n") if words else []
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        is_odd = np.full(len(words), not self.simple)
+        is_odd[np.searchsorted(ends, [m.start() for m in _ODD.finditer(joined)], "right")] = True
+        odd, order = np.flatnonzero(is_odd).tolist(), np.argsort(is_odd, kind="stable")
+        (ids, n), (more, m) = self._simple([w for w, x in zip(texts, is_odd.tolist(), strict=True) if not x] if odd else texts), self._whole([texts[k] for k in odd])
+        n = np.concatenate([n, m])
+        start, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        start[order], size[order] = np.cumsum(n) - n, n
+        return np.concatenate([ids, more]), start, size
+
+    def encode(self, texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For ever so many texts in turn: their ids one behind the other, and how many each text has. Memory holds the words of one turn alone."""
+        index: defaultdict[bytes, int] = defaultdict()
+        index.default_factory = index.__len__
+        held, size = [], 0
+
+        def turn() -> tuple[np.ndarray, np.ndarray]:
+            ids, start, n = self.words(list(index))
+            at = np.concatenate(held)
+            counts = n[at]
+            ends = np.cumsum(counts)
+            out = ids[np.repeat(start[at] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+            before = np.concatenate([[0], ends])
+            return out, np.diff(before[np.cumsum([0, *map(len, held)])])
+
+        for t in texts:
+            words = t.split()  # bytes: ASCII white space
+            held.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
+            size += len(t)
+            if len(index) >= DISTINCT or size >= TOGETHER:
+                yield turn()
+                index.clear()
+                held, size = [], 0
+        if held:
+            yield turn()
 
 
 @lru_cache(maxsize=2)
-def _cache(path: str) -> WordCache:
-    return WordCache(path)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 @lru_cache(maxsize=2)
@@ -119,11 +130,17 @@ def _projection(vocabulary: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.random.default_rng(SEED).standard_normal((BUCKETS, DIMENSIONS))
 
 
-def document_point(ids: np.ndarray) -> np.ndarray:
-    """The hashed, root-scaled, unit-length count vector of a document, projected to a few dimensions."""
+def document_points(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each document the hashed, root-scaled, unit-length count vector of its ids, projected to a few dimensions. ids: of all documents, n each."""
     bucket, directions = _projection()
-    v = np.sqrt(np.bincount(bucket[ids], minlength=BUCKETS))
-    return v @ directions / max(np.linalg.norm(v), 1e-12)
+    out, ends = np.empty((len(n), DIMENSIONS)), np.cumsum(n)
+    for first in range(0, len(n), 256):
+        last = min(first + 256, len(n))
+        own = ids[ends[first] - n[first] : ends[last - 1]]
+        of = np.repeat(np.arange(last - first) * BUCKETS, n[first:last])
+        v = np.sqrt(np.bincount(of + bucket[own], minlength=(last - first) * BUCKETS).reshape(-1, BUCKETS))
+        out[first:last] = v @ directions / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+    return out
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -172,14 +189,26 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: in
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row = TaskContext.get().partitionId() << 36
-        words, end = _cache(path), np.array([END_ID], "<u2").tobytes()
-        for b in batches:
-            ids = [x + end for x in words.encode([t or b"" for t in b.column(1).to_pylist()])]
-            points = np.array([document_point(np.frombuffer(x, "<u2")) for x in ids]).reshape(-1, DIMENSIONS)
-            n = np.array([len(x) // 2 for x in ids], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ids))), b.column(0), pa.array(hilbert_key(points)), pa.array(n), pa.array(ids, pa.binary())], names=["row", "doc_id", "key", "n", "ids"])
-            row += len(ids)
+        row, docs_read = TaskContext.get().partitionId() << 36, deque()
+
+        def texts() -> Iterator[bytes]:
+            for b in batches:
+                docs_read.extend(b.column(0).to_pylist())
+                for t in b.column(1):
+                    yield t.as_py() or b""
+
+        for ids, n in _encoder(path).encode(texts()):
+            ends = np.cumsum(n + 1)
+            ids = np.insert(ids, ends - np.arange(1, len(n) + 1), END_ID)
+            key = hilbert_key(document_points(ids, n + 1))
+            of = [docs_read.popleft() for _ in range(len(n))]
+            for first in range(0, len(n), 500):
+                last = min(first + 500, len(n))
+                begin = int(ends[first] - n[first] - 1)
+                offsets = np.concatenate([[0], ends[first:last] - begin]).astype(np.int32) * 2
+                raw = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(offsets), pa.py_buffer(ids[begin : ends[last - 1]].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row + first, row + last)), pa.array(of[first:last], pa.int64()), pa.array(key[first:last]), pa.array(n[first:last] + 1), raw], names=["row", "doc_id", "key", "n", "ids"])
+            row += len(n)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("t"))
     encoded = Stored(source.mapInArrow(encode, "row long, doc_id long, key long, n long, ids binary"), "packing-ids").read()

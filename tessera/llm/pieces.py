@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import string
+from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import ship
 
 SPACE = "▁"
-#: Entries of a worker's caches of words, of pairs and of words' prefixes; a full cache gives up what came later, or starts anew.
-WORDS, PAIRS, PREFIXES = 300_000, 600_000, 500_000
-NEVER, UNKNOWN = 1 << 60, -1
+#: Texts are encoded together until they hold so many distinct words, or characters.
+DISTINCT, TOGETHER = 400_000, 16 << 20
+#: Pairs of pieces that a worker remembers; a full memory starts anew.
+PAIRS = 1_000_000
+NEVER = 1 << 60
 _LETTERS = "a-zA-Z\u00c0-\u024f"
 
 
@@ -36,6 +40,7 @@ class Pieces:
     """
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -59,17 +64,21 @@ class Pieces:
         own = f"[{alone}]|" if alone else ""
         mark = f"|(?<![{_LETTERS}])[{marks}]" if marks else ""
         self.words = re.compile(f"{own}{SPACE}*[^{SPACE}{alone}](?:[^{SPACE}{alone}{marks}]++{mark})*+|{SPACE}+").findall
-        self.usable = dict.fromkeys(self.ids, UNKNOWN)
-        self.ends: dict[str, tuple[str, int]] = {}
         self.split: dict[str, tuple[str, str] | None] = {}
         self.longest = max(map(len, self.ids))
         if any(SPACE in n.lstrip(SPACE) for n in self.ids) or len(self.bytes) != 256 or len(names) > 1 << 16:
             raise ValueError("only models with byte fallback whose pieces hold spaces in front are supported")
-        self.text = [b"" if special[i] else bytes([int(n[1:-1], 16)]) if sp.is_byte(i) else n.encode() for i, n in enumerate(names)]
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.later: list[str] = []
+        text = [b"" if special[i] else bytes([int(n[1:-1], 16)]) if sp.is_byte(i) else n.encode() for i, n in enumerate(names)]
+        self.blob, self.size = np.frombuffer(b"".join(text), np.uint8), np.array(list(map(len, text)), np.int32)
+        self.start = np.cumsum(self.size, dtype=np.int32) - self.size
+        self.follows: dict[int, bool] = {}
+        self.names, self.length = names, list(map(len, names))
+        self.edge = "\ud800"  # ends a text: no character, so that no text holds it
+        self.pieces = ahocorasick.Automaton()
+        for n, i in self.ids.items():
+            if len(n) == 1 or self.merge(n) == [n]:  # pieces that encode to themselves; no other is ever used
+                self.pieces.add_word(n, i)
+        self.pieces.make_automaton()
 
     def merge(self, text: str) -> list[str]:
         """Encoding of a short text by its definition: merge the pair of best score, the leftmost of equals, while there is one."""
@@ -101,17 +110,15 @@ class Pieces:
         self.split[a] = out = out if len(parts) == 1 else None
         return out
 
-    def can_follow(self, a: str, b: str) -> bool:
-        """Is [a, b] the encoding of a + b? a and b must encode to themselves.
+    def can_follow(self, a: int, b: int) -> bool:
+        """Is [a, b] the encoding of their joined text? Both must encode to themselves.
 
         At the border, merges are undone from the last one. A merge over the border that would have come before the one undone makes the
         answer no; if all are undone, it is yes. Of equal ranks the left one comes first.
         """
-        key = (a, b)
-        if (known := self.follows.get(key)) is None:
-            if len(self.follows) >= PAIRS:
-                self.follows.clear()
-            known = self.follows[key] = self._can_follow(a, b)
+        if len(self.follows) >= PAIRS:
+            self.follows.clear()
+        known = self.follows[a << 16 | b] = self._can_follow(self.names[a], self.names[b])
         return known
 
     def _can_follow(self, a: str, b: str) -> bool:
@@ -130,145 +137,127 @@ class Pieces:
             else:
                 limit, y = q + 1, parts[0]
 
-    def is_whole(self, a: str) -> bool:
-        """Does a piece encode to itself? A character outside the vocabulary does."""
-        if (known := self.whole.get(a)) is None:
-            known = self.whole[a] = len(a) == 1 or self.merge(a) == [a]
-            if len(self.whole) > PAIRS:
-                self.whole.clear()
-        return known
-
-    def search(self, word: str) -> list[int] | None:
-        """Ids of a word that is no longer than the window and all in the vocabulary: the search of stream() with nothing to commit; else None.
+    def stream(self, parts: Iterable[str]) -> Iterator[tuple[list[int], bool]]:
+        """Streaming Viterbi search over texts that come in parts, each text ended by `edge`: (ids, does the text end here), each as soon as certain.
 
-        What is the last piece of a prefix doesn't depend on what follows, so words share the search of their common prefixes.
+        A text is what follows the space in front. The window holds, for each position after the last commit, the last piece of the best (the only) path to it; a character of no
+        piece is its code point, below zero. An automaton names the pieces that end at a position, longest first; the first that can follow the path
+        to its own start is the position's. At the end of a text all paths meet. Before it, when the window is twice as long as the longest
+        piece, the paths to all positions that a later piece can start at are followed back; where they meet, the ids before are committed.
         """
-        end, longest, get, follows, ends = len(word), self.longest, self.usable.get, self.follows, self.ends
-        if end > 2 * longest:
-            return None
-        if len(ends) > PREFIXES:
-            ends.clear()
-        if word not in ends:
-            first = end - 1
-            while first and word[:first] not in ends:
-                first -= 1
-            for i in range(first + 1, end + 1):
-                for j in range(max(0, i - longest), i):
-                    t = word[j:i]
-                    if (n := get(t)) is None:
-                        continue
-                    if n == UNKNOWN:
-                        if not self.is_whole(t):
-                            self.usable.pop(t)
-                            continue
-                        n = self.usable[t] = self.ids[t]
-                    if j:
-                        before = ends[word[:j]][0]
-                        known = follows.get((before, t))
-                        if not (self.can_follow(before, t) if known is None else known):
-                            continue
-                    ends[word[:i]] = (t, n)
-                    break
-                else:
-                    return None
-        out = []
-        while end:
-            t, n = ends[word[:end]]
-            end -= len(t)
-            out.append(n)
-        return out[::-1]
-
-    def stream(self, parts: Iterable[str]) -> Iterator[list[str]]:
-        """Pieces of a text that comes in parts, in lists, each as soon as it is certain.
-
-        The window holds the text after the last committed boundary, and for each position the length of its last piece. When it is twice as long as the
-        longest piece, the paths of all positions that a later piece can start at are followed back; where they meet, the pieces
-        before are committed.
-        """
-        text, last, before = "", [0], ""
-        reach, longest, ids = self.longest, self.longest, self.ids
+        length, known, can_follow, edge, most = self.length, self.follows.get, self.can_follow, self.edge, 2 * self.longest
+        base, reach, window, found = 0, most, [-1], None
+        at = 0  # the first character that no piece of the window ends at, counted over all parts, as `end` is; window[0] stands for the text before base
         for part in parts:
-            for c in part:
-                text += c
-                i = len(text)
-                for n in range(min(longest, i), 0, -1):
-                    t = text[i - n :]
-                    if (n == 1 or t in ids) and self.is_whole(t):
-                        j = i - n
-                        p = text[j - last[j] : j] if j else before
-                        if not p or self.can_follow(p, t):
-                            last.append(n)
-                            break
-                else:
-                    raise ValueError("no piece ends here")
-                if i >= 2 * reach:
-                    meet = self._meeting(last, i)
-                    if meet:
-                        out = self._back(text, last, meet)
-                        yield out
-                        before, text, last = out[-1], text[meet:], [0, *last[meet + 1 :]]
-                        # a piece that reaches back over the boundary can't exist: all paths pass it
-                    reach = longest if meet else reach * 2
-        if text:
-            yield self._back(text, last, len(text))
-
-    def _meeting(self, last: list[int], end: int) -> int:
-        path, i = set(), end
-        while i:
+            first, stop = at, at + len(part)
+            if found is None:
+                found = self.pieces.iter(part)
+            else:
+                found.set(part)
+            for end, piece in chain(found, ((stop, -1),)):
+                if end < at:
+                    continue  # a longer piece ends here
+                while end > at:  # what lies between is no piece's: ends of texts, unknown characters
+                    c = part[at - first]
+                    at += 1
+                    if c == edge:
+                        yield self._back(window, len(window) - 1), True
+                        base, reach, window = at, most, [-1]
+                    else:
+                        window.append(-2 - ord(c))
+                if piece < 0:
+                    break
+                if (j := end + 1 - base - length[piece]) < 0:
+                    continue  # it reaches back over a commit, which all paths pass
+                if (before := window[j]) >= 0:
+                    can = known(before << 16 | piece)
+                    if not (can_follow(before, piece) if can is None else can):
+                        continue
+                window.append(piece)
+                at += 1
+                if at - base >= reach:
+                    if meet := self._meeting(window, at - base):
+                        yield self._back(window, meet), False
+                        base, window = base + meet, window[meet:]
+                    reach = most if meet else 2 * reach
+
+    def _meeting(self, window: list[int], end: int) -> int:
+        """The last position, 0 if there is none, that the paths to `end` and to all positions that a later piece can start at have in common."""
+        length, path, i = self.length, set(), end
+        while i > 0:
             path.add(i)
-            i -= last[i]
+            i -= length[window[i]] if window[i] >= 0 else 1
         meet = end
         for i in range(end - self.longest + 1, end):
-            while i and i not in path:
-                i -= last[i]
+            while i > 0 and i not in path:
+                i -= length[window[i]] if window[i] >= 0 else 1
             meet = min(meet, i)
-        while meet and not all(j - last[j] >= meet or j <= meet for j in range(meet + 1, end + 1) if j > end - self.longest):
-            meet -= last[meet]
-        return meet
-
-    @staticmethod
-    def _back(text: str, last: list[int], end: int) -> list[str]:
-        out = []
-        while end:
-            out.append(text[end - last[end] : end])
-            end -= last[end]
-        return out[::-1]
-
-    def numbers(self, parts: Iterable[str]) -> list[int]:
-        out: list[int] = []
-        for p in parts:
-            if (i := self.ids.get(p)) is not None:
-                out.append(i)
+        return max(0, meet)
+
+    def _back(self, window: list[int], end: int) -> list[int]:
+        """Ids of the path to a position; characters of no piece are the ids of their bytes."""
+        out, length = [], self.length
+        while end > 0:
+            if (p := window[end]) >= 0:
+                out.append(p)
+                end -= length[p]
             else:
-                out += [self.bytes[b] for b in p.encode()]
+                out += [self.bytes[b] for b in reversed(chr(-2 - p).encode())]
+                end -= 1
+        out.reverse()
         return out
 
-    def _word(self, word: str) -> bytes:
-        ids = self.search(word)
-        return np.array(self.numbers(p for out in self.stream((word,)) for p in out) if ids is None else ids, "<u2").tobytes()
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one behind the other, and how many each has: each word is a text of the stream."""
+        ids: list[int] = []
+        ends: list[int] = []
+        for out, is_end in self.stream((self.edge.join(words) + self.edge,) if words else ()):
+            ids += out
+            if is_end:
+                ends.append(len(ids))
+        return np.array(ids, "<u2"), np.diff(np.array(ends, np.int64), prepend=0)
+
+    def encode_texts(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For ever so many texts in turn: their ids one behind the other, and how many each has. A text gets a space in front; nothing else is normalised.
+
+        All paths meet at a word's end, so equal words have equal ids, and a turn's distinct words are searched once.
+        """
+        index: defaultdict[str, int] = defaultdict()
+        index.default_factory = index.__len__
+        held, size = [], 0
+
+        def turn() -> tuple[np.ndarray, np.ndarray]:
+            ids, n = self.encode_words(list(index))
+            start, at = np.cumsum(n) - n, np.concatenate(held)
+            counts = n[at]
+            ends = np.cumsum(counts)
+            out = ids[np.repeat(start[at] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+            return out, np.diff(np.concatenate([[0], ends])[np.cumsum([0, *map(len, held)])])
+
+        for t in texts:
+            words = self.words(SPACE + t.replace(" ", SPACE)) if t else []
+            held.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
+            size += len(t or "")
+            if len(index) >= DISTINCT or size >= TOGETHER:
+                yield turn()
+                index.clear()
+                held, size = [], 0
+        if held:
+            yield turn()
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a text (two bytes each). The text gets a space in front; nothing else is normalised."""
-        if not text:
-            return np.zeros(0, "<u2")
-        words = self.words(SPACE + text.replace(" ", SPACE))
-        known = self.known
-        new = {w for w in words if w not in known}
-        if len(known) + len(new) > WORDS:
-            for w in self.later:
-                del known[w]
-            self.later = []
-            new = {w for w in words if w not in known}
-        keep = len(known) + len(new) <= WORDS // 2
-        for w in new:
-            known[w] = self._word(w)
-        if not keep:
-            self.later += new
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u2")
-
-    def decode(self, ids: Iterable[int]) -> str:
+        """Ids of one text (two bytes each)."""
+        return next(self.encode_texts([text]))[0]
+
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids: byte pieces join to characters (what is no UTF-8 becomes U+FFFD), the space in front goes."""
-        out = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
+        parts = []
+        for first in range(0, len(ids), 1 << 18):
+            own = ids[first : first + (1 << 18)]
+            n = self.size[own]
+            ends = np.cumsum(n, dtype=np.int32)
+            parts.append(self.blob[np.repeat(self.start[own] - ends + n, n) + np.arange(ends[-1], dtype=np.int32)].tobytes())
+        out = b"".join(parts).decode("utf-8", "replace").replace(SPACE, " ")
         return out[1:] if out[:1] == " " else out
 
 
@@ -288,17 +277,24 @@ def encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id", model: s
     path = model or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(path)
-        for b in batches:
-            for first in range(0, b.num_rows, 100):
-                part = b.slice(first, 100)
-                texts = part.column(1).to_pylist()
-                ids = [p.encode(t) for t in texts]
-                same = [p.decode(x.tolist()) == (t or "").replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)]
-                n = np.array([len(x) for x in ids], np.int64)
-                values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(n), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_ids", "round_trip"])
+        p, waiting = pieces(path), deque()
+
+        def texts() -> Iterator[str | None]:
+            for b in batches:
+                for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    waiting.append((i, t := t.as_py()))
+                    yield t
+
+        for ids, n in p.encode_texts(texts()):
+            ends = np.cumsum(n)
+            for first in range(0, len(n), 100):
+                own = [waiting.popleft() for _ in range(min(100, len(n) - first))]
+                last = first + len(own)
+                begin = int(ends[first] - n[first])
+                part, offsets = ids[begin : ends[last - 1]], np.concatenate([[0], ends[first:last] - begin])
+                same = [p.decode(part[s:e]) == (t or "").replace(SPACE, " ") for (_, t), s, e in zip(own, offsets[:-1], offsets[1:], strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(part.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), lists, pa.array(n[first:last]), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_ids", "round_trip"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
 
@@ -311,7 +307,7 @@ def decode(encoded: DataFrame, ids: str = "ids", id_col: str = "doc_id", model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for b in batches:
-            texts = [None if x is None else p.decode(i for i in x if i is not None) for x in b.column(1).to_pylist()]
+            texts = [None if x is None else p.decode(np.array([i for i in x if i is not None], np.int64)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")

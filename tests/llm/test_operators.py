@@ -132,6 +132,16 @@ def test_packing(docs, rows, empty):
     for (i, x), c in ids.items():
         if c == 1 and sum(k[0] == i and len(k[1]) == len(x) for k in ids) == 1:
             assert tuple(v for _, p in sorted(documents[i, len(x)]) for v in p) == x
+    # the order along the curve, from each document's ids alone
+    def key(x):
+        return int(packing.hilbert_key(packing.document_points(np.array(x, "<u2"), np.array([len(x)])))[0])
+
+    places = {}
+    for r in got:
+        if r.start == 0:
+            places.setdefault((r.doc_id, r.doc_tokens), []).append(r.sequence_id * 64 + r.offset)
+    along = sorted((min(places[i, len(x)]), key(x)) for (i, x), c in ids.items() if sum(k[0] == i and len(k[1]) == len(x) for k in ids) == 1)
+    assert [k for _, k in along] == sorted(k for _, k in along)
     assert packing.pack(empty).count() == 0
 
 

@@ -47,22 +47,39 @@ def test_hilbert_curve_is_continuous():
     assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
-def test_words_encode_as_whole_texts():
-    cache, whole = packing.WordCache(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
-    rng = random.Random(1)
-    letters = "abcABC'sStrdlm.,!?*#$%&<>|0123456789éÉñÑüÜßÿ×Ωσς İı́ 中🙂  \n\t\x85-_’"
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(25))) for _ in range(2000)] + ["a<|endoftext|>b", "<|x", "it's 'S", ""]
-    assert cache.simple
-    for t, ids in zip(texts, cache.encode([t.encode() for t in texts]), strict=True):
-        assert np.frombuffer(ids, "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+def split_ids(turns):
+    return [x.tolist() for ids, n in turns for x in np.split(ids, np.cumsum(n)[:-1])]
 
 
-def test_full_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE", 8)
-    cache, want = packing.WordCache(packing.tokenizer_path()), packing.WordCache(packing.tokenizer_path())
-    for k in range(6):
-        texts = [f"the word{k} of{k} {k}{i} the".encode() for i in range(5)]
-        assert cache.encode(texts) == [want.encode([t])[0] for t in texts]
+def test_words_encode_as_whole_texts():
+    encoder, whole = packing.WordEncoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    rng = random.Random(1)
+    letters = "abcABC'sStrdlm.,!?*#$%&<>|/w0123456789éÉñÑüÜßÿ×Ωσς İı́ 中🙂  \n\t\x85-_’"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(25))) for _ in range(2000)] + ["a<|endoftext|>b", "<|x", "it's 'S", "", "x</w> </w> <</w", "\x01 a\x01b"]
+    assert encoder.simple
+    for t, ids in zip(texts, split_ids(encoder.encode(t.encode() for t in texts)), strict=True):
+        assert ids == whole.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("name", ["DISTINCT", "TOGETHER"])
+def test_turns_change_nothing(monkeypatch, name):
+    texts = [f"the word{k} of{k} {k}{i} the".encode() * (i % 3) for k in range(6) for i in range(5)]
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    want = split_ids(encoder.encode(texts))
+    monkeypatch.setattr(packing, name, 8)
+    assert len(list(encoder.encode(texts))) > 5 and split_ids(encoder.encode(texts)) == want
+    assert list(encoder.encode([])) == [] and split_ids(encoder.encode([b"", b""])) == [[], []]
+
+
+def test_points_are_those_of_single_documents():
+    rng = np.random.default_rng(11)
+    n = rng.integers(1, 40, 700)
+    ids = rng.integers(0, 49_000, n.sum()).astype("<u2")
+    bucket, directions = packing._projection()
+    got = packing.document_points(ids, n)
+    for k, own in enumerate(np.split(ids, np.cumsum(n)[:-1])):
+        v = np.sqrt(np.array([sum(bucket[i] == b for i in own) for b in range(packing.BUCKETS)])) if k < 3 else np.sqrt(np.bincount(bucket[own], minlength=packing.BUCKETS))
+        assert np.allclose(got[k], v @ directions / np.linalg.norm(v))
 
 
 @pytest.fixture(scope="module")
@@ -86,17 +103,31 @@ def test_stream_commits_before_the_end(model):
     own, library = model
     rng = random.Random(3)
     for _ in range(20):
-        t = "".join(rng.choice("abcdeinrstthonere") for _ in range(400))
-        out = list(own.stream(["▁" + t[i : i + 9] if i == 0 else t[i : i + 9] for i in range(0, len(t), 9)]))
-        assert len(out) > 3 and own.numbers(p for o in out for p in o) == library.encode(t)
+        t = "▁" + "".join(rng.choice("abcdeinrstthonere中 ") for _ in range(400)).replace(" ", "▁")
+        out = list(own.stream([*(t[i : i + 9] for i in range(0, len(t), 9)), own.edge, "▁end", own.edge]))
+        assert [is_end for _, is_end in out] == [False] * (len(out) - 2) + [True, True] and len(out) > 5
+        assert [i for o, _ in out[:-1] for i in o] == library.encode(t[1:].replace("▁", " ")) and out[-1][0] == library.encode("end")
+
+
+def test_every_word_is_a_text_of_the_stream(model, monkeypatch):
+    """No other search serves the queries: as many texts end in the stream as a turn has distinct words."""
+    own, library = model
+    texts = ["the quick brown fox jumps over the lazy dog " * 3, "x" * 300, "", None, "the fox\nand 中 the dog"]
+    distinct, ended, stream = set(), [], own.stream
+    for t in texts:
+        distinct |= set(own.words("▁" + t.replace(" ", "▁")) if t else ())
+    monkeypatch.setattr(own, "stream", lambda parts: (ended.append(x[1]) or x for x in stream(parts)))
+    ((ids, n),) = own.encode_texts(texts)
+    assert sum(ended) == len(distinct) and len(ended) > len(distinct)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t or "") for t in texts]
 
 
-def test_small_caches_change_nothing(model, monkeypatch):
-    for name in ("WORDS", "PAIRS", "PREFIXES"):
+def test_small_turns_and_memories_change_nothing(model, monkeypatch):
+    texts = ["the quick brown fox jumps over the lazy dog", "thention enthe reth\nin the of", None, "dog of the fox"]
+    for name in ("DISTINCT", "PAIRS", "TOGETHER"):
         monkeypatch.setattr(pieces, name, 5)
-    own, library = pieces.Pieces(pieces.model_path()), model[1]
-    for t in ("the quick brown fox jumps over the lazy dog", "thention enthe reth\nin the of"):
-        assert own.encode(t).tolist() == library.encode(t)
+        own = pieces.Pieces(pieces.model_path())
+        assert split_ids(own.encode_texts(texts)) == [model[1].encode(t or "") for t in texts]
 
 
 PAGE = (

@@ -1,26 +1,105 @@
-"""Labelled pages that the weights of html.py are learned from: content lies between <?content?> and <?rest?>."""
-
-_TEXT = (
-    "The harbour was quiet when the first boats came home and the women on the quay counted them twice.",
-    "Nobody had expected the storm to turn north, and the forecast of the evening before had said nothing of it.",
-    "In the office of the pilots a lamp burned all night. The old log books, kept since the year of the great flood, "
-    "mention three such nights, and each of them is followed by a page that nobody has written on.",
-    "Repairs will take until the autumn, the engineer says, if the timber comes in time.",
-    "Yes.",
-    "The council meets again on Thursday to decide on the cost, which is put at two years' income of the town.",
-)
-_P = "".join(f"<p>{x}</p>" for x in _TEXT)
-_LINKS = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("Home", "News", "Sport", "Weather", "Contact us"))
-
-LABELLED_PAGES = (
-    f"<html><head><title>Harbour</title><style>p{{margin:0}}</style></head><body><nav><ul>{_LINKS}</ul></nav><article><?content?><h1>A night at the harbour</h1>{_P}<?rest?></article>"
-    "<footer>&copy; The Courier. All rights reserved.</footer></body></html>",
-    f'<html><body><div id="header"><a href="/">The Courier</a> Daily since 1901</div><div class="menu"><ul>{_LINKS}</ul></div><div id="content"><?content?><h2>A night</h2>{_P}<?rest?></div>'
-    '<div class="sidebar"><h3>Most read</h3><ul><li><a href="/1">Ten ways to cook an egg</a></li><li><a href="/2">Why cats sleep</a></li></ul></div><div class="footer">Imprint and terms</div></body></html>',
-    f'<html><body><div class="cookie-notice"><p>We use cookies to improve this site.</p><button>Accept</button></div><header><h1>Blog</h1><a href="/">home</a></header><main><?content?><h1>Notes</h1>{_P}<?rest?>'
-    '<section class="comments"><h2>2 comments</h2><p>Great story, thank you for it.</p><p>I was there that night and saw the boats.</p></section></main><aside><p>About the author of this blog</p></aside></body></html>',
-    f'<html><body><table><tr><td><a href="/">Home</a> | <a href="/map">Site map</a> | <a href="/faq">Questions</a></td></tr><tr><td><?content?>{_P}<blockquote>{_TEXT[0]}</blockquote><?rest?></td></tr>'
-    '<tr><td><form><label>Your mail</label><input><button>Subscribe</button></form></td></tr></table><div class="ad">Buy two lamps and get one free</div></body></html>',
-    f'<html><body><div class="ad">Fresh fish every day</div><article><?content?><h1>Harbour</h1><p>{_TEXT[1]} <a href="/log">log books</a> {_TEXT[2]}</p><ul><li>{_TEXT[3]}</li><li>{_TEXT[5]}</li></ul>'
-    f'<h2>What comes next</h2><p>{_TEXT[0]}</p><?rest?></article><div class="related"><a href="/3">Older stories</a> <a href="/4">More from here</a></div><footer><p>Terms</p></footer></body></html>',
-)
+"""Labelled pages that the weights of html.py are learned from, made by a rule: many layouts, with and without names that tell.
+
+The main text's region lies between the first <?content?> and the last <?rest?>; what lies between a <?rest?> and the next <?content?> is no text of it.
+"""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Iterator
+
+PAGES, SEED = 240, 7
+_SYLLABLES = "ba be bo da de di fa ga ge ha he ka ke la le li lo ma me mi na ne no pa pe ra re ro sa se si ta te ti to va ve wa za zo".split()
+CONTENT, REST = "<?content?>", "<?rest?>"
+
+
+def _words(r: random.Random, n: int) -> str:
+    return " ".join("".join(r.choices(_SYLLABLES, k=r.randint(1, 4))) for _ in range(n))
+
+
+def _sentences(r: random.Random, n: int) -> str:
+    return " ".join(_words(r, r.choice((2, 6, 9, 14, 20, 28))).capitalize() + r.choice(".....!?") for _ in range(n))
+
+
+def _links(r: random.Random, n: int, mark: str) -> str:
+    return "".join(f'<{mark}><a href="/{i}">{_words(r, r.randint(1, 3))}</a></{mark}>' for i in range(n))
+
+
+def _menu(r: random.Random) -> str:
+    items = _links(r, r.randint(3, 12), "li")
+    return r.choice((f"<nav><ul>{items}</ul></nav>", f'<div class="{r.choice(("menu", "navbar", "main-nav", "breadcrumbs"))}"><ul>{items}</ul></div>', f"<ul>{items}</ul>", f"<div>{_links(r, 6, 'span')}</div>"))
+
+
+def _head(r: random.Random) -> str:
+    inner = f'<a href="/">{_words(r, 2)}</a> {_words(r, r.randint(2, 6))}'
+    return r.choice((f"<header>{inner}</header>", f'<div id="header">{inner}</div>', f'<div class="site-header"><h1>{_words(r, 2)}</h1>{inner}</div>', ""))
+
+
+def _foot(r: random.Random) -> str:
+    inner = f"&copy; {_words(r, r.randint(2, 9))}. {_links(r, r.randint(0, 4), 'span')}"
+    return r.choice((f"<footer><p>{inner}</p></footer>", f"<footer>{inner}</footer>", f'<div class="footer">{inner}</div>', f'<div id="copyright">{inner}</div>'))
+
+
+def _aside(r: random.Random) -> str:
+    """What lies beside or inside an article and is none of its text."""
+    return r.choice(
+        (
+            f'<div class="{r.choice(("ad", "ads", "advert", "sponsored"))}">{_words(r, r.randint(2, 25))}</div>',
+            f"<aside>{'<p>' * r.randint(0, 1)}{_sentences(r, r.randint(1, 3))}</aside>",
+            f'<div class="{r.choice(("related", "sidebar", "share", "widget"))}"><h3>{_words(r, 2)}</h3><ul>{_links(r, r.randint(2, 8), "li")}</ul></div>',
+            f'<form action="/s"><label>{_words(r, 2)}</label><input name="q"><p>{_words(r, 4)}</p><button>{_words(r, 1)}</button></form>',
+            f'<div class="{r.choice(("newsletter", "cookie-notice", "popup"))}"><p>{_sentences(r, r.randint(1, 3))}</p></div>',
+        )
+    )
+
+
+def _comments(r: random.Random) -> str:
+    inner = "".join(r.choice(("<div class='comment'><p>{}</p></div>", "<article class='comment'><p>{}</p></article>", "<p>{}</p>")).format(_sentences(r, r.randint(1, 6))) for _ in range(r.randint(1, 6)))
+    return r.choice((f'<section class="comments"><h2>{_words(r, 2)}</h2>{inner}</section>', f'<div id="comments">{inner}</div>', f'<ol class="commentlist">{inner}</ol>'))
+
+
+def _body(r: random.Random) -> str:
+    """Blocks of the text, with now and then something that is none of it."""
+    out = [r.choice(("<h1>{}</h1>", "<h2>{}</h2>", "<header><h1>{}</h1></header>")).format(_words(r, r.randint(1, 9)))]
+    for _ in range(r.choice((1, 2, 3, 5, 8, 13, 25))):
+        n = r.choice((1, 1, 2, 3, 5, 9))
+        text = _sentences(r, n)
+        if r.random() < 0.15:
+            text += f' <a href="/w">{_words(r, r.randint(1, 5))}</a> {_sentences(r, 1)}'
+        kind = r.choices(("p", "bare", "list", "quote", "heading", "pre", "table", "open", "bold"), (12, 2, 2, 1, 2, 1, 1, 2, 1))[0]
+        if kind == "list":
+            out.append("<ul>" + "".join(f"<li>{_words(r, r.choice((1, 3, 8, 15)))}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
+        elif kind == "table":
+            out.append("<table>" + "".join(f"<tr><td>{_words(r, 2)}</td><td>{_words(r, 3)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>")
+        else:
+            frame = {"p": "<p>{}</p>", "bare": "<div>{}</div>", "quote": "<blockquote><p>{}</p></blockquote>", "heading": "<h2>{}</h2>", "pre": "<pre>{}</pre>", "open": "<p>{}", "bold": "<p><b>{}</b></p>"}
+            out.append(frame[kind].format(_words(r, r.randint(1, 6)) if kind == "heading" else text))
+        if r.random() < 0.12:
+            out.append(REST + r.choice((_aside, _aside, _aside, _comments))(r) + CONTENT)
+    return "".join(out)
+
+
+def labelled_pages(n: int = PAGES, seed: int = SEED) -> Iterator[str]:
+    r = random.Random(seed)
+    for _ in range(n):
+        body = CONTENT + _body(r) + REST
+        around = r.random()
+        if around < 0.35:
+            body = f"<article>{body}</article>"
+        elif around < 0.5:
+            body = f"<main>{body}{r.choice(('', _comments(r)))}</main>"
+        elif around < 0.6:
+            body = f"<main><article>{body}</article>{r.choice(('', _aside(r), _comments(r)))}</main>"
+        elif around < 0.8:
+            body = f'<div id="{r.choice(("content", "post", "x1", "text"))}">{body}</div>'
+        elif around < 0.9:
+            body = f"<table><tr><td>{_links(r, 5, 'span')}</td><td>{body}</td></tr></table>"
+        before, after = [_menu(r), _head(r)], [_foot(r)]
+        r.shuffle(before)
+        for _ in range(r.randint(0, 2)):
+            r.choice((before, after)).append(_aside(r))
+        if r.random() < 0.3:
+            after.insert(0, _comments(r))
+        if r.random() < 0.2:
+            after.append(_menu(r))
+        yield f"<html><head><title>{_words(r, 4)}</title><style>p{{}}</style><script>var a=1;</script></head><body>{''.join(before)}{body}{''.join(after)}</body></html>"

@@ -9,19 +9,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bucket_of, ship
 
-#: Labelled documents that are learned from at most (in expectation; they are chosen by a hash of their id), shared among the languages.
-MAX_TRAINING_DOCUMENTS = 8_000
-#: A word or n-gram is known if the training documents hold it so often.
-LEAST_COUNT = 3
+#: Characters of labelled documents that are learned from at most (in expectation; documents are chosen whole, by a hash of their id), shared among the languages.
+MAX_TRAINING_CHARACTERS = 24_000_000
 LONGEST = 5
 #: Hashes of ids are cut at one of so many steps.
 HASHES = 1 << 40
-#: Words that a worker remembers besides the model's; a full memory starts anew.
+#: Words that a worker remembers; a full memory starts anew.
 REMEMBERED = 200_000
 #: Documents count as evidence of so many words at most in the score (never in the prediction).
 EVIDENCE = 20
@@ -36,62 +35,98 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def hashes(items: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(x) for x in items), np.uint64, len(items))
+
+
 class Model:
-    """Log frequencies by language: of words, and of n-grams of each length."""
+    """Log frequencies by language: of words, and of n-grams of each length, by their hashes."""
 
-    def __init__(self, counts: pd.DataFrame):
-        """counts: lang, n (0: word), gram, count."""
-        self.langs = sorted(counts["lang"].unique())
-        at = {x: i for i, x in enumerate(self.langs)}
-        self.tables: list[dict[str, int]] = []
+    def __init__(self, langs: list[str], n: np.ndarray, gram: np.ndarray, lang: np.ndarray, count: np.ndarray):
+        """Counts of grams: n (0: word), the gram's hash, the language's place in langs, which are sorted."""
+        self.langs = langs
+        self.keys: list[np.ndarray] = []
         self.logs: list[np.ndarray] = []
-        for n in range(LONGEST + 1):
-            part = counts[counts["n"] == n]
-            rows = {g: i for i, g in enumerate(sorted(part["gram"].unique()))}
-            c = np.zeros((len(rows), len(self.langs)))
-            np.add.at(c, (part["gram"].map(rows).to_numpy(int), part["lang"].map(at).to_numpy(int)), part["count"].to_numpy(float))
-            self.tables.append(rows)
-            self.logs.append(np.log(c + 0.5) - np.log(c.sum(0) + 0.5 * (len(rows) + 1)))
-
-    def unseen(self, word: str) -> np.ndarray:
-        """The mean log frequency of the word's longest n-grams of which any is known."""
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            get = self.tables[n].get
-            if hit := [i for g in grams(word, n) if (i := get(g)) is not None]:
-                return self.logs[n][hit].mean(0)
-        return np.zeros(len(self.langs))
+        for k in range(LONGEST + 1):
+            own = n == k
+            keys, at = np.unique(gram[own], return_inverse=True)
+            c = np.bincount(at * len(langs) + lang[own], count[own], len(keys) * len(langs)).reshape(len(keys), len(langs))
+            self.keys.append(keys)
+            self.logs.append((np.log(c + 0.5) - np.log(c.sum(0) + 0.5 * (len(keys) + 1))).astype(np.float32))
+        self.start()
 
     def start(self) -> None:
-        """A worker's memory: the model's words, then those it meets."""
-        known = len(self.tables[0])
-        self.memory = np.zeros((known + REMEMBERED, len(self.langs)))
-        self.memory[:known] = self.logs[0]
-        self.rows = dict(self.tables[0])
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
-        if not words or not self.langs or not any(map(str.isalpha, text)):
-            return "und", 0.0
-        if not hasattr(self, "rows"):
-            self.start()
-        total, n = np.zeros(len(self.langs)), len(words)
-        for first in range(0, n, 1 << 16):
-            part = words[first : first + (1 << 16)]
-            new = {w for w in part if w not in self.rows}
-            if len(self.rows) + len(new) > len(self.memory):
+        """A worker's memory of words begins anew."""
+        self.rows: dict[str, int] = {}
+        self.memory = np.zeros((0, len(self.langs)), np.float32)
+
+    def _find(self, n: int, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which items are known, and their rows."""
+        keys, h = self.keys[n], hashes(items)
+        at = np.searchsorted(keys, h)
+        known = at < len(keys)
+        known[known] = keys[at[known]] == h[known]
+        return known, at
+
+    def logs_of(self, words: list[str]) -> np.ndarray:
+        """A word's log frequencies; of an unseen one, the mean of its longest n-grams of which any is known; else zeros."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        known, at = self._find(0, words)
+        out[known] = self.logs[0][at[known]]
+        left = np.flatnonzero(~known).tolist()
+        for n in range(LONGEST, 0, -1):
+            if not left:
+                break
+            parts = [grams(words[k], n) if len(words[k]) + 2 >= n else [] for k in left]
+            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            known, at = self._find(n, [g for p in parts for g in p])
+            of = np.repeat(np.arange(len(left)), size)[known]
+            hits = np.bincount(of, minlength=len(left))
+            sums = np.stack([np.bincount(of, self.logs[n][at[known], k], len(left)) for k in range(len(self.langs))], 1)
+            hit = np.flatnonzero(hits)
+            out[np.array(left)[hit]] = sums[hit] / hits[hit, None]
+            left = [left[k] for k in np.flatnonzero(hits == 0).tolist()]
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [self._predict(t) for t in self._learned(texts)]
+
+    def _learned(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
+        """Each text's sum of log frequencies and number of words; None if it has none. Words are looked up for many texts at once."""
+        held: list[list[str] | None] = []
+        new: dict[str, None] = {}
+
+        def turn() -> Iterator[np.ndarray | None]:
+            if len(self.rows) + len(new) > REMEMBERED and self.rows:
                 self.start()
-                new = {w for w in part if w not in self.rows}
-            for w in new:
-                self.memory[len(self.rows)] = self.unseen(w)
-                self.rows[w] = len(self.rows)
-            total += self.memory[[self.rows[w] for w in part]].sum(0)
+                new.update(dict.fromkeys(w for ws in held if ws for w in ws))
+            fresh = list(new)
+            self.rows.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh)), strict=True))
+            self.memory = np.concatenate([self.memory, self.logs_of(fresh)])
+            for ws in held:
+                yield None if ws is None else np.append(self.memory[np.fromiter(map(self.rows.__getitem__, ws), np.int64, len(ws))].sum(0, dtype=np.float64), len(ws))
+
+        for t in texts:
+            ws = WORD.findall(t.lower()) if t else []
+            held.append(ws if ws and self.langs and any(map(str.isalpha, t)) else None)
+            if held[-1]:
+                new.update(dict.fromkeys(w for w in ws if w not in self.rows))
+            if len(new) >= REMEMBERED // 4:
+                yield from turn()
+                held, new = [], {}
+        yield from turn()
+
+    def _predict(self, found: np.ndarray | None) -> tuple[str, float]:
+        if found is None:
+            return "und", 0.0
+        total, n = found[:-1], found[-1]
         best = int(np.argmax(total))  # a tie: the first language by name
         odds = np.exp((total - total[best]) * min(n, EVIDENCE) / n)
         return self.langs[best], float(1 / odds.sum())
 
 
 def shares(sizes: dict[str, int], most: int) -> dict[str, float]:
-    """How many documents of each language are learned from: all of the small ones, equally many of the others, `most` at most."""
+    """How much of each language is learned from: all of the small ones, equally much of the others, `most` at most."""
     out, left = {}, float(most)
     for k, lang in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
         out[lang] = min(float(sizes[lang]), left / (len(sizes) - k))
@@ -99,40 +134,45 @@ def shares(sizes: dict[str, int], most: int) -> dict[str, float]:
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang", most: int = MAX_TRAINING_DOCUMENTS) -> Model:
+def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang", most: int = MAX_TRAINING_CHARACTERS) -> Model:
     """Learns from text and non-null lang of documents that are not held out (crc32 of the id, modulo 4, is 2).
 
-    At most about `most` documents, chosen by hash, are learned from, with their whole texts; so the model is bounded. A language
-    with fewer documents than its share of `most` is learned from all of them, and leaves the rest to the others.
+    Documents of about `most` characters, chosen by hash, are learned from, with their whole texts; so the model is bounded. A language
+    with less than its share of `most` is learned from wholly, and leaves the rest to the others. Every word and n-gram of them counts.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
     rows = rows.where((bucket_of("i", 4) != 2) & F.col("l").isNotNull())
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.sum(F.coalesce(F.length("t"), F.lit(0)) + 1).alias("n")).collect()}  # one row a language
+    langs = sorted(sizes)
+    place = {x: k for k, x in enumerate(langs)}
     if sum(sizes.values()) > most:
         cuts = [F.when(F.col("l") == l, F.lit(int(HASHES * share / sizes[l]))) for l, share in shares(sizes, most).items() if share < sizes[l]]
         rows = rows.where(F.pmod(F.xxhash64("i", F.lit(5)), F.lit(HASHES)) < F.coalesce(*cuts, F.lit(HASHES)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, Counter] = {}
+        total: dict[int, Counter] = {}
         for b in batches:
-            for t, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total.setdefault(l, Counter()).update(WORD.findall(t.lower()) if t else ())
+            for t, l in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                total.setdefault(place[l], Counter()).update(WORD.findall(t.as_py().lower()) if t.is_valid else ())
         for l, words in total.items():
-            tables = [words, *(Counter() for _ in range(LONGEST))]
-            for w, c in words.items():
-                for k in range(1, LONGEST + 1):
-                    for g in grams(w, k):
-                        tables[k][g] += c
-            for k, table in enumerate(tables):
-                items = list(table.items())
-                for i in range(0, len(items), 20_000):
-                    part = items[i : i + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([l] * len(part)), pa.array([k] * len(part), pa.int32()), pa.array([x for x, _ in part]), pa.array([x for _, x in part], pa.int64())], names=["lang", "n", "gram", "count"])
-
-    counted = rows.select("t", "l").mapInArrow(count, "lang string, n int, gram string, count long")
-    counted = counted.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")).where(F.col("count") >= LEAST_COUNT)
-    return Model(counted.toPandas())  # bounded by the training documents
+            for k in range(LONGEST + 1):
+                table: Counter = words if k == 0 else Counter()
+                if k:
+                    for w, c in words.items():
+                        for g in grams(w, k):
+                            table[g] += c
+                items = list(table)
+                for i in range(0, len(items), 50_000):
+                    part = items[i : i + 50_000]
+                    m = len(part)
+                    columns = [pa.array(np.full(m, l, np.int32)), pa.array(np.full(m, k, np.int32)), pa.array(hashes(part).view(np.int64)), pa.array([table[g] for g in part], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "n", "gram", "count"])
+
+    counted = rows.select("t", "l").mapInArrow(count, "lang int, n int, gram long, count long")
+    found = counted.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")).toArrow()  # bounded by the training documents
+    lang_at, n, gram, times = (found.column(c).to_numpy() for c in ("lang", "n", "gram", "count"))
+    return Model(langs, n, gram.view(np.uint64), lang_at, times)
 
 
 def predictor(docs: DataFrame, model: Model):
@@ -141,7 +181,7 @@ def predictor(docs: DataFrame, model: Model):
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        got = [shared.value.predict(t) for t in texts]
+        got = shared.value.predict(texts.tolist())
         return pd.DataFrame({"lang": [x for x, _ in got], "score": [x for _, x in got]}, columns=["lang", "score"])
 
     return predict

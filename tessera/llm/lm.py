@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stored, bucket_of, ship, shuffle_partitions
+from tessera.llm.common import Stored, bucket_of, pair_hash, ship, shuffle_partitions
 
 #: Of the crc32 of doc_id modulo FOLDS: documents that are not learned from, and learned documents whose counts EM holds out.
 FOLDS, TEST, DELETED = 5, 1, 0
@@ -30,14 +30,6 @@ EM_ROUNDS, PRIOR = 60, 2.0
 END, START = (xxhash.xxh64_intdigest(x) for x in (b" end", b" start"))
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """64-bit hash of the ordered pair of two 64-bit hashes."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
-
-
 def squeeze(a: np.ndarray) -> bytes:
     """Byte planes, compressed."""
     a = np.ascontiguousarray(a)

@@ -17,10 +17,13 @@ from tessera.llm.components import connected_components
 SEED = 42
 #: The 64 bits in four bands; fingerprints within two bits agree on two bands at least.
 BANDS = ((0, 16), (16, 16), (32, 16), (48, 16))
-#: Fingerprints in one bit-sliced block: one machine word a plane and lane.
+#: Fingerprints in one bit-sliced block: one machine word a plane.
 LANE = 64
-#: Rows that one comparison task takes; larger groups are cut into chunks and compared chunk with chunk.
-CHUNK = 4096
+#: Members of a group that meet as one chunk. Every group is cut so; most are one chunk.
+CHUNK = 2048
+#: Pairs of a fingerprint and a block that are compared at once, planes between two looks at what can be abandoned, and rows that a task compares at once.
+SLAB, STEP, ROWS = 1 << 14, 16, 1 << 15
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shingle_hashes(text: bytes, width: int = 3) -> list[int]:
@@ -36,18 +39,21 @@ def shingle_hashes(text: bytes, width: int = 3) -> list[int]:
     return [digest(line[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """64-bit SimHash: a bit is 1 if over half of the shingle hashes have it; 0 for a text without words or a null."""
-    hashes = shingle_hashes(text or b"", width)
-    if not hashes:
-        return 0
+def majority(hashes: np.ndarray) -> int:
+    """64-bit SimHash: a bit is 1 if over half of the hashes have it."""
     total, ones = len(hashes), np.zeros(64, np.int64)
     for i in range(0, total, 1 << 14):
-        part = np.array(hashes[i : i + (1 << 14)], np.uint64).view(np.uint8).reshape(-1, 8)
+        part = np.ascontiguousarray(hashes[i : i + (1 << 14)]).view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """SimHash of a text's shingles; 0 for a text without words or a null."""
+    hashes = shingle_hashes(text or b"", width)
+    return majority(np.array(hashes, np.uint64)) if hashes else 0
+
+
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 3) -> DataFrame:
     """(doc_id, fp long) for every row; other columns of docs are left behind."""
     ship(docs.sparkSession)
@@ -61,159 +67,198 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wi
     return source.mapInArrow(run, "doc_id long, fp long")
 
 
-class Planes:
-    """Fingerprints stored vertically: plane k holds bit k of 64 fingerprints in each of its words."""
-
-    def __init__(self, fps: np.ndarray):
-        self.n = len(fps)
-        padded = np.zeros(-(-self.n // LANE) * LANE, np.uint64)
-        padded[: self.n] = fps
-        bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")  # row: fingerprint, column: bit
-        self.planes = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)  # (64, blocks)
-
-    def within(self, fp: int, radius: int, step: int = 8) -> np.ndarray:
-        """Positions of all fingerprints at most radius bits from fp.
-
-        Each plane in which a fingerprint differs adds one to its vertical counter, by carry-save additions over whole words:
-        counters of two bits and a sticky overflow suffice for radius 2 (in general as many bits as the radius needs).
-        After each few planes, blocks in which every fingerprint has passed the radius are abandoned.
-        """
-        width = max(1, int(radius + 1).bit_length())
-        live = np.arange(self.planes.shape[1])
-        counter = [np.zeros(len(live), np.uint64) for _ in range(width)]
-        over = np.zeros(len(live), np.uint64)
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
-        for first in range(0, 64, step):
-            rows = self.planes[first : first + step]
-            rows = rows if len(live) == rows.shape[1] else rows[:, live]
-            for k in range(rows.shape[0]):
-                carry = rows[k] ^ full if fp >> (first + k) & 1 else rows[k].copy()  # 1: differs
-                for i in range(width):
-                    counter[i], carry = counter[i] ^ carry, counter[i] & carry
-                over |= carry
-            far = over | _more_than(counter, radius)
-            keep = far != full
-            if not keep.all():
-                live, over, counter = live[keep], over[keep], [c[keep] for c in counter]
-                if not len(live):
-                    return np.zeros(0, np.int64)
-        near = (over | _more_than(counter, radius)) ^ full
-        hit = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
-        at = live[hit // LANE] * LANE + hit % LANE
-        return at[at < self.n]
-
-
-def _more_than(counter: list[np.ndarray], radius: int) -> np.ndarray:
-    """Bitwise: is the vertical counter over radius?"""
-    more, equal = np.zeros_like(counter[0]), np.full_like(counter[0], 0xFFFFFFFFFFFFFFFF)
-    for i in reversed(range(len(counter))):
-        if radius >> i & 1:
-            equal &= counter[i]
-        else:
-            more |= equal & counter[i]
-            equal &= ~counter[i]
-    return more
-
-
-def _links(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links inside a, or between a and b: at most one edge a fingerprint, never all pairs."""
-    both = a if b is None else np.concatenate([a, b])
-    root = list(range(len(both)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    planes, shift = Planes(a if b is None else b), 0 if b is None else len(a)
-    for i, fp in enumerate(a.tolist()):
-        for j in planes.within(fp, radius).tolist():
-            if (p := find(i)) != (q := find(j + shift)):
-                root[max(p, q)] = min(p, q)
-                yield int(both[i]), int(both[j + shift])
+def planes(fps: np.ndarray) -> np.ndarray:
+    """Fingerprints stored vertically: word w of plane k holds bit k of fingerprints 64 w to 64 w + 63. As many as fill whole words."""
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")  # row: fingerprint, column: bit
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
+
+
+class Counters:
+    """Vertical counters, one for each bit of a row of words: `bits` exact binary digits, and what has passed them."""
+
+    def __init__(self, size: int, bits: int):
+        self.digits = [np.zeros(size, np.uint64) for _ in range(bits)]
+        self.over = np.zeros(size, np.uint64)
+
+    def add(self, words: list[np.ndarray]) -> None:
+        """Adds all words by carry-save: three words of one digit make one of it and one of the next."""
+        for i, digit in enumerate(self.digits):
+            carries = []
+            for x, y in zip(words[::2], words[1::2], strict=False):
+                half = x ^ y
+                carries.append(x & y | half & digit)
+                digit ^= half  # in place: self.digits[i]
+            if len(words) % 2:
+                carries.append(digit & words[-1])
+                digit ^= words[-1]
+            words = carries
+        for x in words:
+            self.over |= x
+
+    def passed(self, limit: int) -> np.ndarray:
+        """Which counters are over the limit."""
+        more, equal = self.over.copy(), ~self.over
+        for i in reversed(range(len(self.digits))):
+            if limit >> i & 1:
+                equal &= self.digits[i]
+            else:
+                more |= equal & self.digits[i]
+                equal &= ~self.digits[i]
+        return more
+
+    def keep(self, which: np.ndarray) -> None:
+        self.digits = [x[which] for x in self.digits]
+        self.over = self.over[which]
+
+
+def near_pairs(fps: np.ndarray, task: np.ndarray, side: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of all pairs at most radius bits apart, of one task each, in parts.
+
+    Rows are sorted by task. side: 0, 1 or, in tasks of one chunk, 2; fingerprints of side 0 meet those of side 1, those of side 2 each other.
+    Those that are met fill the words of the bit planes, task after task; a mask tells a task's own in a word. Each plane in which a fingerprint
+    differs adds one to its vertical counter. After each few planes, pairs of a fingerprint and a word whose counters have all passed the radius are abandoned.
+    """
+    met = np.flatnonzero(side > 0)
+    of, start, many = np.unique(task[met], return_index=True, return_counts=True)
+    lanes = np.zeros(-(-len(met) // LANE) * LANE, np.uint64)
+    lanes[: len(met)] = fps[met]
+    sliced = planes(lanes)
+    asks = np.flatnonzero(side != 1)
+    at = np.searchsorted(of, task[asks])
+    found = at < len(of)
+    found[found] = of[at[found]] == task[asks][found]
+    asks, at = asks[found], at[found]
+    begin, stop = start[at], start[at] + many[at]
+    first_word = begin // LANE
+    size = (stop - 1) // LANE - first_word + 1
+    ends = np.cumsum(size)
+    first = 0
+    while first < len(asks):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first] - size[first]) + SLAB, "right")))
+        n = size[first:last]
+        ask = np.repeat(asks[first:last], n)
+        word = np.repeat(first_word[first:last] - (np.cumsum(n) - n), n) + np.arange(len(ask))
+        foreign = ~(_below(np.repeat(stop[first:last], n) - word * LANE) & ~_below(np.repeat(begin[first:last], n) - word * LANE))
+        first = last
+        counters = Counters(len(ask), max(1, int(radius + 1).bit_length()))
+        for plane in range(0, 64, STEP):
+            own = fps[ask]
+            counters.add([sliced[k][word] ^ (np.uint64(0) - (own >> np.uint64(k) & np.uint64(1))) for k in range(plane, plane + STEP)])
+            live = (counters.passed(radius) | foreign) != _FULL
+            if not live.all():
+                ask, word, foreign = ask[live], word[live], foreign[live]
+                counters.keep(live)
+            if not len(ask):
+                break
+        if len(ask):
+            near = ~(counters.passed(radius) | foreign)
+            hit = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
+            i, j = ask[hit // LANE], met[word[hit // LANE] * LANE + hit % LANE]
+            one = (side[i] == 0) | (i < j)
+            yield np.minimum(i, j)[one], np.maximum(i, j)[one]
+
+
+def _below(n: np.ndarray) -> np.ndarray:
+    """Words whose first n bits are set."""
+    n = np.clip(n, 0, LANE)
+    return np.where(n == LANE, _FULL, (np.uint64(1) << np.minimum(n, LANE - 1).astype(np.uint64)) - np.uint64(1))
+
+
+class Forest:
+    """Which of n rows are linked so far."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links pairs; gives those that join what was apart, at most one a row over all calls."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        while True:
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, low, high = i[apart], j[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            top, first = np.unique(high, return_index=True)
+            out.append((i[first], j[first]))
+            self.root[top] = low[first]
+            while not np.array_equal(self.root, further := self.root[self.root]):
+                self.root = further
+        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (i[:0], j[:0])
+
+
+def deal(rows: DataFrame, keys: list[str], member: str, label: str | None = None) -> DataFrame:
+    """Rows of groups (equal keys) of two or more as comparison tasks (task long, side int), with their columns.
+
+    A group is cut into chunks of about CHUNK members, by hash; each chunk meets itself and each other chunk, so no task holds more than two
+    chunks, whatever the group's size. With a label, members of the group's most frequent label are chunks of their own, which don't meet each other.
+    """
+    if label is None:
+        major, groups = F.lit(False), rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"), F.lit(0).alias("_most")).where("_all > 1")
+    else:
+        counts = rows.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"))
+        groups = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", label)).alias("_top")).where("_all > 1")
+        groups = groups.select(*keys, "_all", F.col("_top._n").alias("_most"), F.col(f"_top.{label}").alias("_major"))
+        major = F.col(label) == F.col("_major")
+    chunks = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
+    groups = groups.withColumn("_minor_chunks", chunks(F.col("_all") - F.col("_most"))).withColumn("_major_chunks", chunks(F.col("_most")))
+    spread = F.xxhash64(member, F.lit(7))
+    own = F.when(major, F.col("_minor_chunks") + F.pmod(spread, F.col("_major_chunks"))).otherwise(F.pmod(spread, F.col("_minor_chunks"))).cast("int")
+    others = F.col("_minor_chunks") + F.when(major, F.lit(0)).otherwise(F.col("_major_chunks"))
+    found = rows.join(groups, keys).withColumn("_own", own).where(others > 0)
+    dealt = found.withColumn("_other", F.explode(F.sequence(F.lit(0), others - 1)))
+    a, b = F.least("_own", "_other"), F.greatest("_own", "_other")
+    side = F.when(a == b, F.lit(2)).otherwise((F.col("_own") == b).cast("int"))
+    return dealt.select(F.xxhash64(*keys, a, b).alias("task"), side.alias("side"), *rows.columns)
+
+
+def whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column as tables of about ROWS rows or more that end with a task."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.num_rows
+        if size >= ROWS:
+            table = pa.Table.from_batches(held).combine_chunks()
+            task = table.column(0).to_numpy()
+            cut = int(np.searchsorted(task, task[-1]))  # the last task may go on
+            if cut:
+                yield table.slice(0, cut)
+            held, size = table.slice(cut).to_batches(), 0  # looked at again when as many rows have come
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def near_edges(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (u, v) that connect exactly the distinct fingerprints within radius bits of each other.
 
-    Candidates share two of four 16-bit bands (pigeonhole for radius up to 2: no link is missed). A candidate group is compared
-    bit-sliced. A group over CHUNK is cut into chunks by hash, and every pair of its chunks becomes a task of its own: no task
-    holds more than two chunks, whatever the group's size. Tasks emit spanning forests, not pairs.
+    Candidates share two of four 16-bit bands (pigeonhole for radius up to 2: no link is missed). Groups of candidates, of any size, are compared
+    bit-sliced, many at once. Tasks emit spanning forests, not pairs.
     """
     if radius > 2:
         raise ValueError("the bands find links of up to two bits")
-    spark = fps.sparkSession
-    ship(spark)
+    ship(fps.sparkSession)
     keys = []
     for n, (x, y) in enumerate(combinations(range(4), 2)):
         band = lambda k: F.shiftrightunsigned("fp", BANDS[k][0]).bitwiseAND(F.lit((1 << BANDS[k][1]) - 1))
         keys.append(F.struct(F.lit(n).alias("n"), (F.shiftleft(band(x), 16).bitwiseOR(band(y))).alias("key")))
-    distinct = fps.select("fp").distinct()
-    rows = distinct.select("fp", F.inline(F.array(*keys)))
-    groups = rows.groupBy("n", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    groups = groups.withColumn("chunks", F.ceil(F.col("size") / F.lit(CHUNK // 2)).cast("int"))
-    found = rows.join(groups, ["n", "key"])
-    # a chunk meets each chunk: the row goes to every pair (its chunk, other), ordered
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
-    dealt = found.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("n", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp")
-    # tasks take many groups at once: Python sees sorted runs, not one call a group
-    task = dealt.repartition("n", "key", "a", "b").sortWithinPartitions("n", "key", "a", "b")
+    rows = fps.select("fp").distinct().select("fp", F.inline(F.array(*keys)))
+    dealt = deal(rows, ["n", "key"], "fp").select("task", "side", "fp")
+    tasks = dealt.repartition("task").sortWithinPartitions("task")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def runs() -> Iterator[tuple[np.ndarray, ...]]:
-            """Whole groups, in order; a group may reach over batches."""
-            nonlocal held
-            for b in batches:
-                cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-                if not len(cols[0]):
-                    continue
-                new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
-                if held and all(held[-1][i][-1] == cols[i][0] for i in range(4)):
-                    cut = new[0] if len(new) else len(cols[0])
-                    held.append(tuple(c[:cut] for c in cols))
-                    if not len(new):
-                        continue
-                    yield tuple(map(np.concatenate, zip(*held, strict=True)))
-                    held, start = [], cut
-                else:
-                    if held:
-                        yield tuple(map(np.concatenate, zip(*held, strict=True)))
-                    held, start = [], 0
-                edges = [start, *[x for x in new if x > start], len(cols[0])]
-                for s, e in zip(edges[:-2], edges[1:-1], strict=True):
-                    yield tuple(c[s:e] for c in cols)
-                held = [tuple(c[edges[-2] :] for c in cols)]
-            if held:
-                yield tuple(map(np.concatenate, zip(*held, strict=True)))
-
-        us: list[int] = []
-        vs: list[int] = []
-        for _, _, a, b, own, fp in runs():
-            fp = fp.astype(np.int64).view(np.uint64)
-            if len(fp) == 2:
-                pairs = [(int(fp[0]), int(fp[1]))] if (int(fp[0]) ^ int(fp[1])).bit_count() <= radius else []
-            elif a[0] == b[0]:
-                pairs = _links(np.unique(fp), None, radius)
-            else:
-                x, y = np.unique(fp[own == a[0]]), np.unique(fp[own == b[0]])
-                pairs = _links(x, y, radius) if len(x) and len(y) else []
-            for u, v in pairs:
-                us.append(u)
-                vs.append(v)
-            if len(us) > 50_000:
-                yield _edges(us, vs)
-                us, vs = [], []
-        yield _edges(us, vs)
-
-    return task.mapInArrow(compare, "u long, v long")
-
-
-def _edges(us: list[int], vs: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (us, vs)], names=["u", "v"])
+        for table in whole_tasks(batches):
+            task, side, fp = (c.to_numpy() for c in table.columns)
+            forest, own = Forest(len(fp)), fp.view(np.uint64)
+            for i, j in near_pairs(own, task, side, radius):
+                u, v = forest.add(i, j)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], names=["u", "v"])
+
+    return tasks.mapInArrow(compare, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius: int = 2, width: int = 3) -> DataFrame:

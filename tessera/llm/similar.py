@@ -1,4 +1,4 @@
-"""Exact near-duplicate links by the Jaccard similarity of word shingles: a prefix filter that misses no pair, then counted overlaps."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash with a wide radius, bit-sliced comparison, then whole sets."""
 
 from __future__ import annotations
 
@@ -6,106 +6,175 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stored, ship
+from tessera.llm.common import Stored, pair_hash, ship
 from tessera.llm.components import connected_components
-from tessera.llm.simhash import shingle_hashes
+from tessera.llm.simhash import deal, majority, near_pairs, whole_tasks
 
-#: Shingles that two prefixes share at least (all of the overlap, where it is smaller): prefixes are so much longer.
-COMMON = 8
+#: Differing bits of 64 up to which fingerprints of sets are looked at closely. Of sets with a similarity of 0.8, each bit differs with
+#: odds of 0.152 (the angle of the sets' cosine, 0.889), so that one pair in 10^8 differs in more.
+RADIUS = 28
 #: Documents (in expectation, by hash) and shingles that say which shingles are frequent. This decides the order of shingles only, never the links.
-ORDER_DOCUMENTS, ORDER_SHINGLES = 20_000, 300_000
+ORDER_DOCUMENTS, ORDER_SHINGLES = 5_000, 300_000
+#: A document's nearest candidates that are looked at in the first round of comparisons, and by how much each round looks at more.
+NEAREST, MORE = 4, 4
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """The distinct shingles' hashes, sorted."""
-    return np.unique(np.array(shingle_hashes(text or b"", width), np.uint64)).view(np.int64)
+    """The distinct shingles' hashes, sorted. Words as in fingerprints; fewer words than a shingle are one shingle."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.int64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(h) - width + 1)
+    out = h[:n]
+    for k in range(1, min(width, len(h))):
+        out = pair_hash(out, h[k : k + n])
+    return np.unique(out).view(np.int64)
 
 
-def _sets(rows: DataFrame, text: str, width: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
-    """(node, n, hashes) for every row: how many shingles it has, and its prefix in the order rare first (frequent None: all of them)."""
-    order = None if frequent is None else np.argsort(frequent, kind="stable")
-    known = None if frequent is None else frequent[order]
+def _sets(rows: DataFrame, text: str, width: int) -> DataFrame:
+    """(node, hashes): the whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, out = [], []
-            for t in b.column(1).to_pylist():
-                h = shingle_set(t, width)
-                n = len(h)
-                sizes.append(n)
-                if known is not None:
-                    if len(known) and n:
-                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        rank = np.where(known[at] == h, order[at] + 1, 0)
-                        h = h[np.argsort(rank, kind="stable")]
-                    h = h[: n + percent * n // -100 + COMMON]
-                out.append(h)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["node", "n", "hashes"])
-
-    source = rows.select("node", F.col(text).cast("string").cast("binary").alias("t"))
-    return source.mapInArrow(run, "node long, n int, hashes array<long>")
-
-
-def _frequent(rows: DataFrame, text: str, width: int, percent: int) -> np.ndarray:
+            for first in range(0, b.num_rows, 200):
+                part = b.slice(first, 200)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), width) for t in part.column(1)], pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return rows.select("node", F.col(text).cast("string").cast("binary").alias("t")).mapInArrow(run, "node long, hashes array<long>")
+
+
+def _frequent(rows: DataFrame, text: str, width: int) -> np.ndarray:
     """Shingles that a sample of documents repeats, the most frequent last."""
     n = rows.count()
     some = rows if n <= ORDER_DOCUMENTS else rows.where(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * ORDER_DOCUMENTS / n))
-    counts = _sets(some, text, width, percent, None).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    counts = _sets(some, text, width).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     top = counts.orderBy(F.desc("c"), "h").limit(ORDER_SHINGLES).toPandas()  # bounded by ORDER_SHINGLES
     return top["h"].to_numpy(np.int64)[::-1].copy()
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets have the similarity."""
-    pairs = Stored(pairs, "similar-pairs").read()
-    need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = Stored(_sets(rows.join(need, "node", "left_semi"), text, width, percent, None), "similar-sets").read()
-    a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "uv")
-    same = F.size(F.array_intersect("hu", "hv"))
-    return pairs.join(a, "u").join(b, "v").where(same * (100 + percent) >= (F.size("hu") + F.size("hv")) * percent).select("u", "v")
+def _signatures(rows: DataFrame, text: str, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """(node, key, n, fp, prefix) for every row: its text's digest, how many shingles it has, their SimHash, and the first shingles in the order rare first, of which two sets so similar share one."""
+    order = np.argsort(frequent, kind="stable")
+    known = frequent[order]
+
+    def sign(text: bytes | None) -> tuple[int, int, np.ndarray]:
+        h = shingle_set(text, width)
+        n = len(h)
+        fp = majority(h.view(np.uint64)) if n else 0
+        if n and len(known):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            h = h[np.argsort(np.where(known[at] == h, order[at] + 1, 0), kind="stable")]
+        return n, fp, h[: n + percent * n // -100 + 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in range(0, b.num_rows, 200):
+                part = b.slice(first, 200)
+                n, fp, prefix = zip(*(sign(t.as_py()) for t in part.column(2)), strict=True)
+                fps = pa.array(np.array(fp, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int32()), fps, pa.array(prefix, pa.list_(pa.int64()))], names=["node", "key", "n", "fp", "prefix"])
+
+    t = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    return rows.select("node", F.unhex(F.sha2(t, 256)).alias("key"), t.alias("t")).mapInArrow(run, "node long, key binary, n int, fp long, prefix array<long>")
 
 
 def similar_components(rows: DataFrame, text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, root) for every row of rows, whose `node` (long) tells them apart: root is the smallest node that links reach.
 
     Rows link if the Jaccard similarity of their sets of distinct shingles is at least `similarity` (of whole percents). Texts without words
-    are all alike; a text of fewer words than a shingle is one shingle. No link is missed: in any common order of shingles, sets of n
-    shingles that are so similar share COMMON ones of their first n - ceil(similarity * n) + COMMON. First each shingle's documents
-    meet its smallest one, and what is linked then is not compared again; so a large group of copies costs its size, not its square.
+    are all alike; a text of fewer words than a shingle is one shingle; equal texts are compared once.
+
+    Candidates: in any common order of shingles, sets of n shingles that are so similar share one of their first n - ceil(similarity * n) + 1,
+    and have enough shingles left after the first they share. So the documents of a shingle are a group, and no pair is missed. Groups are compared by the
+    bit planes of their fingerprints; candidates within RADIUS bits are compared by their whole sets. What links have joined already isn't compared
+    again: first each document meets the smallest of its groups, twice; then rounds look at ever more of each document's nearest candidates, until none is left.
     """
     percent = round(100 * similarity)
     ship(rows.sparkSession)
-    keyed = Stored(rows.select("node", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256).alias("key")), "similar-keys").read()
-    texts = Stored(keyed.groupBy("key").agg(F.min("node").alias("first")), "similar-texts").read()
-    once = rows.join(texts.select(F.col("first").alias("node")), "node", "left_semi")
-    sets = Stored(_sets(once, text, width, percent, _frequent(once, text, width, percent)), "similar-prefixes").read()
-    posts = sets.select("node", "n", F.explode("hashes").alias("h"))
-    groups = posts.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("least")).where("c > 1")
-    shared = Stored(posts.join(groups.select("h", "least"), "h"), "similar-posts").read()
-
-    def alike(n: Column, m: Column) -> Column:
-        return F.least(n, m) * 100 >= F.greatest(n, m) * percent
-
-    def enough(found: DataFrame) -> DataFrame:
-        """Pairs (u, v, n, m), a row a common shingle: those with as many as links have at least."""
-        overlap = F.ceil((F.col("n") + F.col("m")) * percent / F.lit(100 + percent))
-        return found.groupBy("u", "v", "n", "m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.least(F.lit(COMMON), overlap)).select("u", "v")
-
-    stars = shared.select(F.col("node").alias("u"), F.col("least.node").alias("v"), "n", F.col("least.n").alias("m")).where((F.col("u") > F.col("v")) & alike(F.col("n"), F.col("m")))
-    wordless = sets.where("n = 0").select("node")
-    none = wordless.crossJoin(F.broadcast(wordless.agg(F.min("node").alias("v")))).select(F.col("node").alias("u"), "v")  # one row is broadcast
-    first = Stored(_similar(enough(stars), rows, text, width, percent).union(none), "similar-first").read()
-    roots = Stored(connected_components(first, "similar-links"), "similar-roots").read()
-    now = shared.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = now.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("h")
-    now = Stored(now.join(mixed, "h", "left_semi"), "similar-mixed").read()
-    x = now.select("h", F.col("node").alias("u"), "n", F.col("root").alias("ru"))
-    y = now.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("rv"))
-    rest = x.join(y, "h").where((F.col("u") > F.col("v")) & (F.col("ru") != F.col("rv")) & alike(F.col("n"), F.col("m")))
-    links = Stored(first.union(_similar(enough(rest.select("u", "v", "n", "m")), rows, text, width, percent)), "similar-all").read()
-    ends = Stored(connected_components(links, "similar-links"), "similar-ends").read()
-    named = texts.join(ends, texts["first"] == ends["node"], "left").select("key", F.coalesce("root", "first").alias("root"))
-    return keyed.join(named, "key").select("node", "root")
+    all_signed = Stored(_signatures(rows, text, width, percent, _frequent(rows, text, width)), "similar-signatures").read()
+    texts = Stored(all_signed.groupBy("key").agg(F.min("node").alias("first")), "similar-texts").read()
+    signed = all_signed.join(texts.select(F.col("first").alias("node")), "node", "left_semi")
+    places = signed.select("node", F.posexplode("prefix").alias("place", "h"))
+    groups = places.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    shared = places.join(groups, "h", "left_semi")
+    posts = Stored(shared.join(all_signed.select("node", "n", "fp"), "node").select("h", "node", "n", (F.col("n") - F.col("place")).alias("rest"), "fp"), "similar-posts").read()
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) whose whole sets have the similarity. Only their texts are read again."""
+        need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        sets = Stored(_sets(rows.join(need, "node", "left_semi"), text, width), "similar-sets").read()
+        a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "uv")
+        same = F.size(F.array_intersect("hu", "hv"))
+        return pairs.join(a, "u").join(b, "v").where(same * (100 + percent) >= (F.size("hu") + F.size("hv")) * percent).select("u", "v")
+
+    def may_link(n: Column, m: Column, rest: Column, other: Column) -> Column:
+        return F.least(rest, other) * (100 + percent) >= (n + m) * percent
+
+    wordless = signed.where("n = 0").select("node")
+    links = Stored(wordless.crossJoin(F.broadcast(wordless.agg(F.min("node").alias("v")))).select(F.col("node").alias("u"), "v"), "similar-links")  # one row is broadcast
+    tested: DataFrame | None = None
+
+    def learn(pairs: DataFrame, links: Stored, tested: DataFrame | None) -> tuple[Stored, DataFrame, DataFrame]:
+        """Tests what is not tested yet; gives the links, all tested pairs and the components."""
+        new = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
+        new = Stored(new, "similar-pairs").read()
+        found = Stored(links.read().union(similar(new)), "similar-links")
+        return found, new if tested is None else tested.union(new), Stored(connected_components(found.read(), "similar-components"), "similar-roots").read()
+
+    def apart(roots: DataFrame) -> DataFrame:
+        """The posts of groups that links have not joined wholly, with their roots."""
+        now = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
+        return Stored(now.join(mixed, "h", "left_semi"), "similar-apart").read()
+
+    now = posts.withColumn("root", F.col("node"))
+    for turn in range(2):
+        first = F.min(F.struct(*([F.xxhash64("node")] if turn else []), "node", "n", "rest", "fp", "root")).alias("p")
+        met = now.join(now.groupBy("h").agg(first), "h").where((F.col("root") != F.col("p.root")) & may_link(F.col("n"), F.col("p.n"), F.col("rest"), F.col("p.rest")))
+        met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= RADIUS)
+        pairs = met.select(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v")).distinct()
+        links, tested, roots = learn(pairs, links, tested)
+        now = apart(roots)
+
+    nearest = NEAREST
+    while True:
+        found = Stored(_nearest(now, percent, nearest), "similar-nearest").read()
+        links, tested, roots = learn(found.where("u >= 0").distinct(), links, tested)
+        if found.where("u < 0").isEmpty():
+            break
+        now, nearest = apart(roots), nearest * MORE
+    named = texts.join(roots, texts["first"] == roots["node"], "left").select("key", F.coalesce("root", "first").alias("root"))
+    return all_signed.select("node", "key").join(named, "key").select("node", "root")
+
+
+def _nearest(posts: DataFrame, percent: int, nearest: int) -> DataFrame:
+    """Candidates (u, v) of unlike roots; if a document has more than `nearest` in a comparison, the nearest of them and a row (-1, -1)."""
+    dealt = deal(posts, ["h"], "node", "root").select("task", "side", "node", "n", "rest", "fp", "root")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_tasks(batches):
+            task, side, node, n, rest, fp, root = (c.to_numpy() for c in table.columns)
+            n, rest = n.astype(np.int64), rest.astype(np.int64)
+            for i, j in near_pairs(fp.view(np.uint64), task, side, RADIUS):
+                can = (root[i] != root[j]) & (np.minimum(rest[i], rest[j]) * (100 + percent) >= (n[i] + n[j]) * percent)
+                i, j = i[can], j[can]
+                if not len(i):
+                    continue
+                apart = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)).astype(np.int64)
+                row, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+                order = np.lexsort((np.tile(apart, 2), row))
+                begins = np.flatnonzero(np.diff(row[order], prepend=-1))
+                rank = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+                keep = np.zeros(len(i), bool)
+                keep[pair[order[rank < nearest]]] = True
+                u, v = node[i[keep]], node[j[keep]]
+                if not keep.all():
+                    u, v = np.append(u, -1), np.append(v, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "u long, v long")

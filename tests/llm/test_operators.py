@@ -99,7 +99,7 @@ def test_simhash(spark, docs, rows, empty, monkeypatch):
 
 
 def test_near_edges_in_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(simhash, "CHUNK", 8)
     rng = np.random.default_rng(2)
     base = int(rng.integers(0, 1 << 62))
     fps = {base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (200, 2))} | {int(x) for x in rng.integers(0, 1 << 62, 50)}
@@ -361,6 +361,8 @@ def test_similar_documents_are_near_copies(spark, monkeypatch):
     rng = np.random.default_rng(9)
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(rng.choice(words, rng.integers(1, 120))) for _ in range(40)] + ["", None, " ", "One two", "one two", "same " * 30]
+    passage = " ".join(rng.choice(words, 90))
+    texts += [f"{passage} {' '.join(rng.choice(words, k))}" for k in range(1, 22) for _ in range(4)]  # all share most of a passage; few are alike
     for t in texts[:40]:
         for k in (1, 2, 3, 4):
             w = t.split()
@@ -373,8 +375,10 @@ def test_similar_documents_are_near_copies(spark, monkeypatch):
     root = components_of(links, range(len(texts)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
     want = sorted({*root.values()})
-    for n in (20_000, 30):
-        monkeypatch.setattr(similar, "ORDER_DOCUMENTS", n)
+    for documents, chunk, nearest in ((5_000, 2048, 4), (30, 4, 1)):
+        monkeypatch.setattr(similar, "ORDER_DOCUMENTS", documents)
+        monkeypatch.setattr(similar, "NEAREST", nearest)
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
         kept = corpus_pipeline.near_duplicates(spark, docs, "")
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
     assert len(want) < simhash.drop_near_copies(docs).count()
@@ -417,5 +421,12 @@ def test_every_trusted_document_counts(spark):
 def test_rare_languages_are_learned(spark):
     assert langid.shares({"a": 1000, "b": 5, "c": 40}, 90) == {"b": 5, "c": 40, "a": 45}
     docs = [(i, text_of(3 * i + 1), "en") for i in range(2000)] + [(5000 + i, "xyq zuvq wqqo", "rare") for i in range(12)]
-    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), most=100)
-    assert model.langs == ["en", "rare"] and model.predict("zuvq xyq")[0] == "rare"
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), most=20_000)
+    assert model.langs == ["en", "rare"] and model.predict(["zuvq xyq"])[0][0] == "rare"
+
+
+def test_words_that_occur_once_are_learned(spark):
+    texts = [("en", "the dog"), ("en", "a dog"), ("fr", "le chien"), ("de", "ein hund"), ("de", "der hund"), ("en", "the end")]
+    texts = [(i, t, lang) for i, (lang, t) in zip((i for i in range(100) if not held(i, 4, 2)), texts, strict=False)]
+    got = langid.identify(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: lang for i, _, lang in texts}

@@ -75,7 +75,7 @@ class Block:
         learned = sum(k for _, f, k in self.docs if f != TEST)
         kept = sum(k for _, f, k in self.docs if f not in (TEST, DELETED))
         return {
-            "block": number, "deleted": fold[0] == DELETED, "tokens": self.tokens, "learned": learned, "kept": kept,
+            "block": number * 2 + (fold[0] == DELETED), "deleted": fold[0] == DELETED, "tokens": self.tokens, "learned": learned, "kept": kept,
             "starts": sum(f != TEST for f in fold), "kept_starts": sum(f not in (TEST, DELETED) for f in fold),
             "doc_id": list(doc), "fold": list(fold), "n": list(n), "hashes": squeeze(hashes), "ids": squeeze(np.concatenate(self.ids)),
         }
@@ -121,7 +121,8 @@ def _buckets(contexts: np.ndarray) -> np.ndarray:
 
 def learn_weights(histogram: np.ndarray) -> np.ndarray:
     """Expectation-maximisation. histogram: context bucket, log ratio of the word's and the pair's estimate to the uniform one (times STEP; below
-    zero by far: none), count. Returns weights (uniform, word, pair) by bucket; PRIOR tokens a bucket follow the weights of all."""
+    zero by far: none), count. Returns weights (uniform, word, pair) by bucket; PRIOR tokens a bucket follow the weights of all.
+    Bucket 0 holds the contexts that were never met: they have no pair estimate, and so no weight for it."""
 
     def em(ratio: np.ndarray, count: np.ndarray, prior: np.ndarray) -> np.ndarray:
         w = np.full(3, 1 / 3)
@@ -132,8 +133,13 @@ def learn_weights(histogram: np.ndarray) -> np.ndarray:
             w /= w.sum()
         return w
 
+    def without_pair(weights: np.ndarray) -> np.ndarray:
+        weights[0, 2] = 0.0
+        weights[0] /= weights[0].sum()
+        return weights
+
     if not len(histogram):
-        return np.tile([1 / 3, 1 / 3, 1 / 3], (CONTEXTS, 1))
+        return without_pair(np.tile([1 / 3, 1 / 3, 1 / 3], (CONTEXTS, 1)))
     q = histogram[:, 1:3].astype(float) / STEP
     ratio = np.hstack([np.ones((len(q), 1)), np.where(histogram[:, 1:3] <= -1000, 0.0, np.exp(q))])
     count = histogram[:, 3].astype(float)
@@ -142,7 +148,7 @@ def learn_weights(histogram: np.ndarray) -> np.ndarray:
     for b in np.unique(histogram[:, 0]):
         own = histogram[:, 0] == b
         out[b] = em(ratio[own], count[own], PRIOR * overall)
-    return out
+    return without_pair(out)
 
 
 def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -150,7 +156,7 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
 
     Words are lower-cased (A-Z) runs without ASCII white space, and each text ends with one end token. Word and word-pair counts come from all
     documents but those whose crc32 of the id is 1 modulo 5. score is the log10 probability of the text: pair estimate, word
-    estimate and uniform share, mixed by the frequency of the word before; the weights are learned by EM from the counts of one
+    estimate and uniform share, mixed by the frequency of the word before (without the pair estimate where that word was never met, so that all words and one unseen word have a sum of 1); the weights are learned by EM from the counts of one
     fold of the learned documents against estimates from the others. base_score: words alone, add one half. Null and empty texts
     are an end token; very long texts are one document of a block; repeated rows come back repeated and count each; a null id counts as an empty one;
     an empty table gives an empty result; extra columns don't matter.
@@ -164,7 +170,7 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
     def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, open_blocks = TaskContext.get().partitionId() << 32, {True: Block(), False: Block()}
+        number, open_blocks = TaskContext.get().partitionId() << 31, {True: Block(), False: Block()}
         for b in batches:
             for doc_id, fold, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 block = open_blocks[fold == DELETED]
@@ -246,8 +252,7 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
 
     needed = blocks.select("block", "deleted", "doc_id", "fold", "n", "hashes", "ids")
     replies = answers.where("block >= 0").select("block", "gram", "part", "kept", "deleted")
-    held = needed.where("deleted")
-    tallied = held.groupBy("block").cogroup(replies.join(F.broadcast(held.select("block")), "block", "left_semi").groupBy("block")).applyInArrow(tally, "bucket long, word long, pair long, n long")  # a number for each block
+    tallied = needed.where("deleted").groupBy("block").cogroup(replies.where("block % 2 = 1").groupBy("block")).applyInArrow(tally, "bucket long, word long, pair long, n long")
     histogram = np.array([tuple(r) for r in tallied.groupBy("bucket", "word", "pair").agg(F.sum("n")).collect()], np.int64).reshape(-1, 4)  # quantised: bounded
     weights = learn_weights(histogram)
 

@@ -12,114 +12,130 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Stored, ship, shuffle_partitions
 from tessera.llm.components import connected_components
+from tessera.llm.simhash import Forest
 
 SIMILARITY = 0.95
-#: Vectors in one block (a sequence interval that travels as one row) and in a leaf of the recursion.
-BLOCK, LEAF = 2048, 256
+#: Vectors in one block (a sequence interval that travels as one row) and in a leaf of the recursion. A block travels once for each block it may link with, so large ones travel less.
+BLOCK, LEAF = 8192, 512
 #: Principal dimensions that make the grid order, that boxes are kept for, and that blocks are matched by.
 ORDER_DIMENSIONS, BOX_DIMENSIONS, MATCH_DIMENSIONS = 6, 16, 2
 #: Vectors that principal dimensions are taken from at most (they only steer the pruning, never the result).
 PCA_SAMPLE = 50_000
 
 
-def _valid(v: list | None) -> np.ndarray | None:
-    """The vector in double precision; None if it is null, empty, zero or holds null or non-finite components."""
+def _valid(v: list | None) -> bytes | None:
+    """The vector scaled by a power of two, which changes no cosine, so that its norm neither over- nor underflows; None if it is null, empty, zero or holds null
+    or non-finite components. Four bytes a component if they hold all of it, else eight, after a byte that tells."""
     if not v or any(x is None for x in v):
         return None
     a = np.array(v, np.float64)
-    return a if np.isfinite(a).all() and 0 < (n := math.sqrt(float(a @ a))) < math.inf else None
+    most = np.abs(a).max()
+    if not np.isfinite(a).all() or most == 0:
+        return None
+    a = np.ldexp(a, -int(np.frexp(most)[1])) + 0.0  # no negative zero
+    short = a.astype("<f4")
+    return b"4" + short.tobytes() if (short == a).all() else b"8" + a.astype("<f8").tobytes()
+
+
+def _vector(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<f4" if raw[:1] == b"4" else "<f8", offset=1).astype(np.float64)
+
+
+def _length(raw: bytes) -> int:
+    return (len(raw) - 1) // (4 if raw[:1] == b"4" else 8)
 
 
 def _directions(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """For each vector length, orthonormal principal dimensions (as columns), from a bounded sample."""
+    """For each vector length, orthonormal principal dimensions (as columns), from a bounded sample, which is stored before it is summed."""
     n = vectors.count()
     part = vectors if n <= PCA_SAMPLE else vectors.where(F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * PCA_SAMPLE / n))
+    sample = Stored(part.select("vec"), "vector-sample")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
         for b in batches:
+            own: dict[int, list] = {}
             for raw in b.column(0).to_pylist():
-                a = np.frombuffer(raw)
-                a = a / np.linalg.norm(a)
-                t = total.setdefault(len(a), [0, np.zeros(len(a)), np.zeros((len(a), len(a)))])
-                t[0] += 1
-                t[1] += a
-                t[2] += np.outer(a, a)
+                own.setdefault(_length(raw), []).append(_vector(raw))
+            for d, rows in own.items():
+                a = np.array(rows)
+                a /= np.linalg.norm(a, axis=1)[:, None]
+                t = total.setdefault(d, [0, np.zeros(d), np.zeros((d, d))])
+                total[d] = [t[0] + len(a), t[1] + a.sum(0), t[2] + a.T @ a]
         rows = [(d, t[0], t[1].tobytes(), t[2].tobytes()) for d, t in total.items()]
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["d", "n", "s", "m"])
 
     out: dict[int, list] = {}
-    for r in part.select("vec").coalesce(8).mapInArrow(sums, "d long, n long, s binary, m binary").collect():  # 8 tasks, a matrix each
+    for r in sample.read().coalesce(8).mapInArrow(sums, "d long, n long, s binary, m binary").collect():  # 8 tasks over the sample, a matrix each
         t = out.setdefault(r.d, [0, 0.0, 0.0])
         t[0] += r.n
         t[1] = t[1] + np.frombuffer(r.s)
         t[2] = t[2] + np.frombuffer(r.m).reshape(r.d, r.d)
+    sample.drop()
     return {d: np.linalg.eigh(t[2] / t[0] - np.outer(t[1], t[1]) / t[0] ** 2)[1][:, ::-1][:, :BOX_DIMENSIONS].copy() for d, t in out.items()}
 
 
 class Interval:
     """A block's vectors with their coordinates on the principal dimensions, in grid order."""
 
-    def __init__(self, raw: bytes, d: int, p: np.ndarray | None):
-        self.exact = np.frombuffer(raw).reshape(-1, d)
-        self.norm = np.sqrt(np.einsum("ij,ij->i", self.exact, self.exact))
-        unit = self.exact / self.norm[:, None]
-        self.at = unit @ (np.eye(d)[:, :BOX_DIMENSIONS] if p is None else p)
+    def __init__(self, exact: np.ndarray, p: np.ndarray | None):
+        self.exact = exact
+        self.norm = np.sqrt(np.einsum("ij,ij->i", exact, exact))
+        unit = exact / self.norm[:, None]
+        self.at = unit @ (np.eye(exact.shape[1])[:, :BOX_DIMENSIONS] if p is None else p)
         self.unit = unit.astype(np.float32)
 
     def box(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         return self.at[a:b].min(0), self.at[a:b].max(0)
 
 
+def _block(raw: bytes, wide: bool, d: int) -> np.ndarray:
+    return np.frombuffer(raw, "<f8" if wide else "<f4").reshape(-1, d).astype(np.float64)
+
+
 def _apart(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     """Squared distance of two boxes: no two of their vectors are nearer."""
     gap = np.maximum(0, np.maximum(x[0] - y[1], y[0] - x[1]))
     return float(gap @ gap)
 
 
-def linked(a: Interval, b: Interval, least: float) -> np.ndarray:
-    """Which vectors of a and b have a cosine of `least` or more; recursive, skipping intervals that are provably too far apart."""
-    out = np.zeros((len(a.unit), len(b.unit)), bool)
-    reach = 2 - 2 * least + 1e-6
+def linked(a: Interval, b: Interval, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of all vectors of a and of b with a cosine of `least` or more, in parts; of one interval with itself, each pair once.
+
+    Recursive: both intervals are halved, and halves that are provably too far apart are skipped.
+    """
+    reach, same = 2 - 2 * least + 1e-6, a is b
+    boxes: dict[tuple[bool, int, int], tuple[np.ndarray, np.ndarray]] = {}
 
-    def join(i: int, j: int, k: int, m: int) -> None:
-        if _apart(a.box(i, j), b.box(k, m)) > reach:
+    def box(of_b: bool, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        if (of_b, i, j) not in boxes:
+            boxes[of_b, i, j] = (b if of_b else a).box(i, j)
+        return boxes[of_b, i, j]
+
+    def join(i: int, j: int, k: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if same and m <= i or _apart(box(False, i, j), box(True, k, m)) > reach:
             return
         if j - i <= LEAF and m - k <= LEAF:
             near = a.unit[i:j] @ b.unit[k:m].T
-            hit = near >= least + 1e-4
-            x, y = np.nonzero(~hit & (near >= least - 1e-4))  # single precision can't tell: double decides
+            x, y = np.nonzero(near >= least - 1e-4)
+            sure = near[x, y] >= least + 1e-4
+            if not sure.all():  # single precision can't tell: double decides
+                s, t = i + x[~sure], k + y[~sure]
+                sure[~sure] = np.einsum("ij,ij->i", a.exact[s], b.exact[t]) / (a.norm[s] * b.norm[t]) >= least
+            x, y = i + x[sure], k + y[sure]
+            if same:
+                x, y = x[x < y], y[x < y]
             if len(x):
-                dots = np.einsum("ij,ij->i", a.exact[i + x], b.exact[k + y])
-                hit[x, y] = dots / (a.norm[i + x] * b.norm[k + y]) >= least
-            out[i:j, k:m] = hit
+                yield x, y
         elif j - i >= m - k:
-            join(i, (i + j) // 2, k, m)
-            join((i + j) // 2, j, k, m)
+            yield from join(i, (i + j) // 2, k, m)
+            yield from join((i + j) // 2, j, k, m)
         else:
-            join(i, j, k, (k + m) // 2)
-            join(i, j, (k + m) // 2, m)
-
-    join(0, len(a.unit), 0, len(b.unit))
-    return out
-
-
-def _forest(hit: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Edges (node, smallest node it reaches) of the bipartite links: at most one a node, never all pairs."""
-    i, j = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
-    if not len(i):
-        return np.zeros((0, 2), np.int64)
-    h = hit[np.ix_(i, j)]
-    a, b, big = x[i].copy(), y[j].copy(), np.iinfo(np.int64).max
-    while True:
-        a2 = np.minimum(a, np.where(h, b, big).min(1))
-        b2 = np.minimum(b, np.where(h, a2[:, None], big).min(0))
-        if (a2 == a).all() and (b2 == b).all():
-            break
-        a, b = a2, b2
-    e = np.concatenate([np.stack([x[i], a], 1), np.stack([y[j], b], 1)])
-    return e[e[:, 0] != e[:, 1]]
+            yield from join(i, j, k, (k + m) // 2)
+            yield from join(i, j, (k + m) // 2, m)
+
+    yield from join(0, len(a.unit), 0, len(b.unit))
 
 
 def near_duplicates(vectors: DataFrame, vec: str = "embedding", id_col: str = "vec_id", least: float = SIMILARITY) -> DataFrame:
@@ -136,8 +152,7 @@ def near_duplicates(vectors: DataFrame, vec: str = "embedding", id_col: str = "v
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [_valid(v) for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if v is None else v.tobytes() for v in got], pa.binary())], names=["vec_id", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_valid(v) for v in b.column(1).to_pylist()], pa.binary())], names=["vec_id", "vec"])
 
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("v"))
     checked = Stored(source.mapInArrow(check, "vec_id long, vec binary").withColumn("uid", F.sha2("vec", 256)), "vectors").read()
@@ -149,9 +164,9 @@ def near_duplicates(vectors: DataFrame, vec: str = "embedding", id_col: str = "v
 
     def coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raws, keys = b.column(3).to_pylist(), []
-            for raw in raws:
-                a = np.frombuffer(raw)
+            keys = []
+            for raw in b.column(3).to_pylist():
+                a = _vector(raw)
                 p = principal.get(len(a))
                 at = (a if p is None else a @ p)[:ORDER_DIMENSIONS] / np.linalg.norm(a)
                 cell = np.clip(np.floor(at / side), -2000, 2000).astype(int) + 2000
@@ -169,12 +184,13 @@ def near_duplicates(vectors: DataFrame, vec: str = "embedding", id_col: str = "v
 
         def made() -> pa.RecordBatch:
             nonlocal number, held
-            raw = b"".join(r["vec"] for r in held)
-            d = held[0]["cells"][0]
-            lo, hi = Interval(raw, d, principal.get(d)).box(0, len(held))
+            vectors, d = np.array([_vector(r["vec"]) for r in held]), held[0]["cells"][0]
+            wide = any(r["vec"][:1] == b"8" for r in held)
+            raw = vectors.astype("<f8" if wide else "<f4").tobytes()
+            lo, hi = Interval(vectors, principal.get(d)).box(0, len(held))
             members = [{"node": number * BLOCK + i, "uid": r["uid"], "least": r["least"], "many": r["many"]} for i, r in enumerate(held)]
             member = pa.struct([("node", pa.int64()), ("uid", pa.string()), ("least", pa.int64()), ("many", pa.int64())])
-            out = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([d], pa.int64()), pa.array([lo.tolist()]), pa.array([hi.tolist()]), pa.array([members], pa.list_(member)), pa.array([raw], pa.binary())], names=["block", "d", "lo", "hi", "members", "vecs"])
+            out = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([d], pa.int64()), pa.array([lo.tolist()]), pa.array([hi.tolist()]), pa.array([members], pa.list_(member)), pa.array([wide]), pa.array([raw], pa.binary())], names=["block", "d", "lo", "hi", "members", "wide", "vecs"])
             number, held = number + 1, []
             return out
 
@@ -186,7 +202,7 @@ def near_duplicates(vectors: DataFrame, vec: str = "embedding", id_col: str = "v
         if held:
             yield made()
 
-    blocks = Stored(ordered.mapInArrow(block, f"block long, d long, lo array<double>, hi array<double>, members {members_type}, vecs binary"), "vector-blocks").read()
+    blocks = Stored(ordered.mapInArrow(block, f"block long, d long, lo array<double>, hi array<double>, members {members_type}, wide boolean, vecs binary"), "vector-blocks").read()
 
     # blocks that may hold links: they share a cell of the coarse grid or lie in neighbouring cells, and their boxes are near
     cells = lambda k, wide: F.sequence(F.floor(F.element_at("lo", k) / side) - wide, F.floor(F.element_at("hi", k) / side) + wide)
@@ -195,43 +211,43 @@ def near_duplicates(vectors: DataFrame, vec: str = "embedding", id_col: str = "v
     def spread(wide: int, name: str) -> DataFrame:
         out = blocks.select(F.col("block").alias(name), "d", F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"), *[cells(k, wide).alias(f"c{k}") for k in dims])
         for k in dims:
-            out = out.withColumn(f"c{k}", F.explode(f"c{k}"))
+            out = out.withColumn(f"{name}{k}", F.element_at(f"c{k}", 1)).withColumn(f"c{k}", F.explode(f"c{k}"))
         return out
 
     gap = F.zip_with(F.zip_with("a_lo", "b_hi", lambda x, y: x - y), F.zip_with("b_lo", "a_hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     apart = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g)
     met = spread(1, "a").join(spread(0, "b"), ["d", *[f"c{k}" for k in dims]]).where("a <= b")
-    pairs = met.where(apart <= 2 - 2 * least + 1e-6).select("a", "b").distinct()
-    own = blocks.select("block", "d", F.transform("members", lambda m: m["many"]).alias("many"), "vecs")
-    first = own.select(F.col("block").alias("a"), "d", F.col("many").alias("a_many"), F.col("vecs").alias("a_vecs"))
-    second = own.select(F.col("block").alias("b"), F.col("many").alias("b_many"), F.col("vecs").alias("b_vecs"))
-    tasks = pairs.join(first, "a").join(second, "b").select("a", "b", "d", "a_many", "b_many", "a_vecs", "b_vecs")
+    for k in dims:  # of the cells that a pair shares, the first
+        met = met.where(F.col(f"c{k}") == F.greatest(f"a{k}", f"b{k}"))
+    pairs = met.where(apart <= 2 - 2 * least + 1e-6).select("a", "b")
+    own = blocks.select("block", "d", F.transform("members", lambda m: m["many"]).alias("many"), "wide", "vecs")
+    first = own.select(F.col("block").alias("a"), "d", F.col("many").alias("a_many"), F.col("wide").alias("a_wide"), F.col("vecs").alias("a_vecs"))
+    second = own.select(F.col("block").alias("b"), F.col("many").alias("b_many"), F.col("wide").alias("b_wide"), F.col("vecs").alias("b_vecs"))
+    tasks = pairs.join(first, "a").join(second, "b").select("a", "b", "d", "a_many", "b_many", "a_wide", "b_wide", "a_vecs", "b_vecs")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                p = principal.get(r["d"])
-                x = Interval(r["a_vecs"], r["d"], p)
-                y = x if r["a"] == r["b"] else Interval(r["b_vecs"], r["d"], p)
-                hit = linked(x, y, least)
-                i, j = r["a"] * BLOCK + np.arange(len(x.unit)), r["b"] * BLOCK + np.arange(len(y.unit))
-                if r["a"] == r["b"]:
-                    hit |= hit.T
-                    np.fill_diagonal(hit, False)
-                ones = np.asarray(hit, np.float64)
-                counts = [(i, ones @ np.array(r["b_many"], float))] + ([(j, ones.T @ np.array(r["a_many"], float))] if r["a"] != r["b"] else [])
-                edges = _forest(hit, i, j)
-                u = np.concatenate([n[c > 0] for n, c in counts] + [edges[:, 0]])
-                links = np.concatenate([c[c > 0] for _, c in counts] + [np.zeros(len(edges))]).astype(np.int64)
-                v = np.concatenate([np.full(len(u) - len(edges), -1), edges[:, 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(links)], names=["u", "v", "n"])
-
-    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row holds two blocks
-    try:
-        found = Stored(tasks.mapInArrow(compare, "u long, v long, n long"), "vector-links").read()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                p, one = principal.get(r["d"]), r["a"] == r["b"]
+                x = Interval(_block(r["a_vecs"], r["a_wide"], r["d"]), p)
+                y = x if one else Interval(_block(r["b_vecs"], r["b_wide"], r["d"]), p)
+                # rows: the vectors of a, then those of b
+                n, after = len(x.unit), 0 if one else len(x.unit)
+                node = r["a"] * BLOCK + np.arange(n)
+                node, many = (node, np.array(r["a_many"])) if one else (np.append(node, r["b"] * BLOCK + np.arange(len(y.unit))), np.array(r["a_many"] + r["b_many"]))
+                counts, forest, us, vs = np.zeros(len(node), np.int64), Forest(len(node)), [], []
+                for i, j in linked(x, y, least):
+                    j = j + after
+                    counts += np.bincount(i, many[j], len(node)).astype(np.int64) + np.bincount(j, many[i], len(node)).astype(np.int64)
+                    u, v = forest.add(i, j)
+                    us.append(node[u])
+                    vs.append(node[v])
+                some = counts > 0
+                u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(node[some], u)), pa.array(np.append(np.full(some.sum(), -1), v)), pa.array(np.append(counts[some], np.zeros(len(u), np.int64)))], names=["u", "v", "n"])
+
+    found = Stored(tasks.repartition(F.xxhash64("a", "b")).mapInArrow(compare, "u long, v long, n long"), "vector-links").read()
     roots = Stored(connected_components(found.where("v >= 0").select("u", "v"), "vector-components"), "vector-roots").read()
     links = found.where("v < 0").groupBy("u").agg(F.sum("n").alias("n"))
     nodes = blocks.select(F.inline("members"))

@@ -237,19 +237,48 @@ def test_language_model(docs, rows, empty, size, monkeypatch):
         assert lm.score(empty).count() == 0
 
 
-def test_language_model_probabilities_sum_to_one(spark):
-    """After any context the words of the vocabulary and one unseen word share all probability."""
-    texts = ["a b a c", "b a", "c c b", "a b", "b c a", "a a b c"]
-    docs = [(i, texts[i % 6]) for i in range(60)]
-    words = ["a", "b", "c", "zzz"]
-    probes = [(1000 + i, f"a {w}") for i, w in enumerate(words)] + [(2000, "a")]
-    probes = [(i * 7 + 100_000, t) for i, t in probes]
-    while not all(held(i, 5, 1) for i, _ in probes):
-        probes = [(i if held(i, 5, 1) else i + 1, t) for i, t in probes]
-    score = {r.doc_id: 10**r.score for r in lm.score(spark.createDataFrame(docs + probes, "doc_id long, text string")).collect()}
-    *pairs, alone = [score[i] for i, _ in probes]
-    # p(a) p(w | a) p(end | w) for each w, and p(a) p(end | a): without the model's inside only bounds can be told
-    assert all(0 < p < 1 for p in (*pairs, alone)) and sum(pairs) + alone < 1
+class PlainModel:
+    """The model by its definition, from token lists; None is the end, and stands for the start as a context."""
+
+    def __init__(self, docs):
+        learned = [(i, tokens(t)) for i, t in docs if not held(i, 5, 1)]
+        kept = [(i, w) for i, w in learned if not held(i, 5, 0)]
+        one, two, first = self.count(kept)
+        self.words, self.pairs, self.starts = self.count(learned)
+        self.kinds, self.total, total = len(self.words), sum(self.words.values()), sum(one.values())
+        rows = Counter()
+        for i, w in learned:
+            if held(i, 5, 0):
+                for a, b in zip([None, *w], w):
+                    n = first if a is None else one[a]
+                    ratios = [one[b] / max(1, total) * (self.kinds + 1), two[a, b] / n * (self.kinds + 1) if n else 0]
+                    rows[(min(int(math.log2(n + 1)), lm.CONTEXTS - 1), *(round(math.log(x) * lm.STEP) if x else -1000 for x in ratios))] += 1
+        self.weights = lm.learn_weights(np.array([(*k, n) for k, n in rows.items()], np.int64).reshape(-1, 4))
+
+    @staticmethod
+    def count(docs):
+        return Counter(x for _, w in docs for x in w), Counter(p for _, w in docs for p in zip([None, *w], w)), len(docs)
+
+    def p(self, before, word):
+        n = self.starts if before is None else self.words[before]
+        u, w, pair = self.weights[min(int(math.log2(n + 1)), lm.CONTEXTS - 1)]
+        return u / (self.kinds + 1) + w * self.words[word] / max(1, self.total) + pair * self.pairs[before, word] / max(1, n)
+
+    def score(self, text):
+        w = tokens(text)
+        return sum(math.log10(self.p(a, b)) for a, b in zip([None, *w], w))
+
+
+def test_language_model_equals_its_definition(spark, docs, rows):
+    rng = np.random.default_rng(13)
+    small = [(i, " ".join(rng.choice(list("aabbbcd") + [f"w{i % 9}"], int(rng.integers(0, 12))))) for i in range(300)] + [(9000 + i, "never met zzz a") for i in range(20)]
+    for table in (small, [(i, t) for i, t, *_ in rows if i is not None]):
+        model = PlainModel(table)
+        got = lm.score(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+        assert Counter((r.doc_id, round(r.score, 6)) for r in got) == Counter((i, round(model.score(t), 6)) for i, t in table)
+        for before in [None, *list(model.words)[:40], "never met"]:  # the end is no context; None is the start
+            if before is not None or model.starts:
+                assert sum(model.p(before, w) for w in [*model.words, "unseen"]) == pytest.approx(1, abs=1e-9), before
 
 
 def test_sharding(docs, rows, empty, spark):
@@ -283,10 +312,10 @@ def test_embeddings(spark, monkeypatch):
     x[60:110] = x[:50] * rng.uniform(0.5, 3, (50, 1)) + 0.12 * rng.standard_normal((50, 12))
     x[110:] = x[0]
     vectors = [(i, v.tolist()) for i, v in enumerate(x)]
-    odd = [(500, None), (501, [0.0] * 12), (502, [math.nan] + [1.0] * 11), (503, [None] + [1.0] * 11), (504, []), (505, [math.inf] * 12), (506, [1.0, 2.0]), (507, [2.0, 4.0]), (3, x[3].tolist()), (None, x[5].tolist())]
+    odd = [(500, None), (501, [0.0] * 12), (502, [math.nan] + [1.0] * 11), (503, [None] + [1.0] * 11), (504, []), (505, [math.inf] * 12), (506, [1.0, 2.0]), (507, [2.0, 4.0]), (508, [1e-200, 2e-200]), (509, [1e200, 2e200]), (510, [1e200, 1.0]), (511, [1e-310, 0.0]), (3, x[3].tolist()), (None, x[5].tolist())]
     table = spark.createDataFrame([(i, v, 1, "u") for i, v in vectors + odd], "vec_id long, embedding array<double>, label int, uid string").repartition(3)
     got = embeddings.near_duplicates(table)
-    good = [(k, i, np.array(v)) for k, (i, v) in enumerate(vectors + odd) if v and None not in v and np.isfinite(v).all() and any(v)]
+    good = [(k, i, np.array(v) / np.abs(v).max()) for k, (i, v) in enumerate(vectors + odd) if v and None not in v and np.isfinite(v).all() and any(v)]
     links = [(a, b) for a, _, u in good for b, _, w in good if a < b and len(u) == len(w) and u @ w / (np.sqrt(u @ u) * np.sqrt(w @ w)) >= 0.95]
     root = components_of(links, range(len(vectors + odd)))
     least = {}

@@ -1,5 +1,6 @@
 """The algorithms alone, without Spark."""
 
+import math
 import random
 import re
 import time
@@ -321,6 +322,7 @@ def test_packed_arrays():
 def test_weights_rise_in_likelihood():
     rng = np.random.default_rng(7)
     h = np.stack([rng.integers(0, 3, 200), rng.integers(-8, 20, 200), np.where(rng.random(200) < 0.5, -1000, rng.integers(10, 60, 200)), rng.integers(1, 50, 200)], 1)
+    h[h[:, 0] == 0, 2] = -1000  # contexts that were never met have no pairs
     w = lm.learn_weights(h)
     assert np.allclose(w.sum(1), 1) and (w >= 0).all()
 
@@ -331,14 +333,25 @@ def test_weights_rise_in_likelihood():
     assert likelihood(w) > likelihood(np.full_like(w, 1 / 3))
 
 
-def test_recursive_join_equals_all_pairs():
+def test_recursive_join_equals_all_pairs(monkeypatch):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((700, 16))
     x[300:] = x[:400] + 0.03 * rng.standard_normal((400, 16))
     p = np.linalg.eigh(np.cov(x.T))[1][:, ::-1].copy()
-    a, b = embeddings.Interval(x[:350].tobytes(), 16, p), embeddings.Interval(x[350:].tobytes(), 16, p)
+    monkeypatch.setattr(embeddings, "LEAF", 64)
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    assert (embeddings.linked(a, b, 0.95) == (u[:350] @ u[350:].T >= 0.95)).all()
+    a, b = embeddings.Interval(x[:350], p), embeddings.Interval(x[350:], p)
+    for first, second, want in ((a, b, u[:350] @ u[350:].T >= 0.95), (b, b, np.triu(u[350:] @ u[350:].T >= 0.95, 1))):
+        got = [z for i, j in embeddings.linked(first, second, 0.95) for z in zip(i.tolist(), j.tolist(), strict=True)]
+        assert len(set(got)) == len(got) and set(got) == {tuple(z) for z in np.argwhere(want).tolist()}
+
+
+def test_vectors_of_any_size():
+    for v in ([1.0, 2.0], [1e-200, 2e-200], [1e200, 2e200], [0.1, 0.2], [3e-320, 0.0], [1e308, -1e308]):
+        w = embeddings._vector(embeddings._valid(v))
+        assert 0.5 <= np.abs(w).max() < 1 and embeddings._length(embeddings._valid(v)) == 2
+    assert embeddings._valid([1e-200, 2e-200]) != embeddings._valid([1.0, -2.0]) and embeddings._valid([1.0, 2.0]) == embeddings._valid([4.0, 8.0])
+    assert [embeddings._valid(v) for v in (None, [], [0.0, -0.0], [None], [math.inf], [math.nan, 1.0])] == [None] * 6
 
 
 def test_statistics_of_any_text():

@@ -123,7 +123,7 @@ def cmd_chain(index: Index, a: argparse.Namespace) -> None:
 
 
 def cmd_graph(index: Index, a: argparse.Namespace) -> None:
-    print(render.dependency_diagram(index, a.target, a.direction, a.depth) if a.type == "deps" else render.call_diagram(index, a.target, a.depth))
+    print(render.text(render.dependency_diagram(index, a.target, a.direction, a.depth) if a.type == "deps" else render.call_diagram(index, a.target, a.depth)))
 
 
 def cmd_deps(index: Index, a: argparse.Namespace) -> None:

@@ -1,30 +1,38 @@
-"""Gapless ids in a given order without sorting all rows, or all groups of them, in one task."""
+"""Gapless numbers in a given order without sorting all rows, or all rows of a key, in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets that are summed together, and first characters that text buckets share then.
-COARSE, COARSE_PREFIX = 4096, 4
+from tessera.sources.shared import stored
 
+#: monotonically_increasing_id() holds the partition above so many bits, and the row's place in it below.
+_PLACE_BITS = 33
 
-def _starts(sizes: DataFrame, keys: list[str], key: str, name: str) -> DataFrame:
-    """Adds the running sum of _n before each row, in the order of key within keys."""
-    window = Window.partitionBy(*keys).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn(name, F.coalesce(F.sum("_n").over(window), F.lit(0)))
 
+def in_order(df: DataFrame, name: str = "id") -> DataFrame:
+    """Adds each row's number, from 1, in the order that df has.
 
-def gapless_ids(df: DataFrame, bucket: Column, order: list[str], name: str = "id") -> DataFrame:
-    """Adds ids from 1 in the order of (bucket, *order). bucket must not fall as order rises.
-
-    Rows are numbered in each bucket; choose buckets small (a range or prefix of the leading key). Sizes of buckets are summed within coarse
-    buckets, and only the sizes of those, one row for thousands of buckets, meet in a window without partitions.
+    The rows are stored with their partition and place once; the driver sees one row a partition.
     """
-    b = df.withColumn("_bucket", bucket)
-    coarse = F.substring("_bucket", 1, COARSE_PREFIX) if dict(b.dtypes)["_bucket"] == "string" else F.floor(F.col("_bucket") / COARSE)
-    sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_coarse", coarse)
-    wide = _starts(sizes.groupBy("_coarse").agg(F.sum("_n").alias("_n")), [], "_coarse", "_before").drop("_n")
-    starts = _starts(sizes, ["_coarse"], "_bucket", "_start").join(wide, "_coarse").select("_bucket", (F.col("_start") + F.col("_before")).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return b.withColumn("_own", own).join(starts, "_bucket").withColumn(name, F.col("_start") + F.col("_own").cast("long")).drop("_bucket", "_own", "_start")
+    table = stored(df.withColumn("_at", F.monotonically_increasing_id()), "in-order").withColumn("_part", F.shiftright("_at", _PLACE_BITS))
+    sizes = table.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a partition
+    before, rows = 0, []
+    for r in sorted(sizes, key=lambda r: r["_part"]):
+        rows.append((r["_part"], before - (r["_part"] << _PLACE_BITS) + 1))
+        before += r.n
+    starts = df.sparkSession.createDataFrame(rows, "_part long, _start long")
+    return table.join(F.broadcast(starts), "_part").withColumn(name, F.col("_at") + F.col("_start")).drop("_at", "_part", "_start")  # as many rows as partitions
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+    """Adds numbers from 1 in the order of the columns, which tell all rows apart. Ranges of rows are sorted, however many share their first columns."""
+    return in_order(df.repartitionByRange(*order).sortWithinPartitions(*order), name)
+
+
+def numbered_within(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """Adds numbers from 1 for each key, in the order of the columns; a key's rows may lie in many ranges."""
+    rows = numbered(df, [key, *order], "_n")
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_n").alias("_first"))
+    return rows.join(first, rows[key].eqNullSafe(first["_key"])).withColumn(name, F.col("_n") - F.col("_first") + 1).drop("_n", "_key", "_first")

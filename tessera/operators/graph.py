@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.numbering import numbered_within
 from tessera.operators.queries import all_dependencies
 from tessera.plans.schema import Index
+from tessera.sources.shared import stored
 
 CALL_FAN_OUT = 10
 #: Levels that one plan holds; deeper searches cut their lineage.
@@ -38,17 +36,7 @@ def dependency_edges(index: Index, reverse: bool = False) -> DataFrame:
 
 def neighbour_rows(edges: DataFrame) -> DataFrame:
     """(node, pos, neighbour): each node's neighbours in order, from 1."""
-    pos = F.row_number().over(Window.partitionBy("s").orderBy("ord")).cast("long")
-    return edges.select(F.col("s").alias("node"), pos.alias("pos"), F.col("t").alias("neighbour"))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df written in the shared folder, spark.checkpoint.dir (a local one only where that is unset), and read again."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="tessera-graph-")).as_uri()
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return numbered_within(edges, "s", ["ord"], "pos").select(F.col("s").alias("node"), "pos", F.col("t").alias("neighbour"))
 
 
 def levels(edges: DataFrame, start: str, max_depth: int, fan_out: int | None = None) -> DataFrame:
@@ -63,7 +51,7 @@ def levels(edges: DataFrame, start: str, max_depth: int, fan_out: int | None = N
         return empty
     follow = edges
     if fan_out is not None:
-        rank = F.row_number().over(Window.partitionBy("s").orderBy("ord"))
+        rank = F.row_number().over(Window.partitionBy("s").orderBy("ord"))  # with the limit, Spark keeps only the first rows of a key before it shuffles
         follow = edges.withColumn("_rank", rank).where(F.col("_rank") <= fan_out).drop("_rank")
     frontier = spark.createDataFrame([(start, 0, [])], "node string, depth int, place array<long>")
     seen = frontier
@@ -72,12 +60,12 @@ def levels(edges: DataFrame, start: str, max_depth: int, fan_out: int | None = N
         first = reached.groupBy("node").agg(F.min("place").alias("place"))
         frontier = first.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "place")
         if depth % UNROLLED == 0:
-            frontier = _cut(frontier)
+            frontier = stored(frontier, "graph")
             if frontier.isEmpty():
                 break
         seen = seen.unionByName(frontier)
         if depth % UNROLLED == 0:
-            seen = _cut(seen)
+            seen = stored(seen, "graph")
     return seen
 
 
@@ -86,8 +74,8 @@ def search(edges: DataFrame, start: str, max_depth: int, fan_out: int | None = N
     found = levels(edges, start, max_depth, fan_out)
     near = edges.join(found.select(F.col("node").alias("s")), "s", "left_semi")
     near = near.groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "t"))), lambda x: x["t"]).alias("neighbours"))
-    rank = F.row_number().over(Window.partitionBy("depth").orderBy("place")).cast("long")
-    out = found.withColumn("rank", rank).join(near, found["node"] == near["s"], "left")
+    ranked = numbered_within(found, "depth", ["place"], "rank")
+    out = ranked.join(near, ranked["node"] == near["s"], "left")
     return out.select("depth", "rank", "node", F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours")).orderBy("depth", "rank")
 
 

@@ -11,17 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.functions.numbering import gapless_ids
+from tessera.functions.numbering import numbered
 from tessera.operators import resolve
 from tessera.operators.extract.extract import extract_source
 from tessera.plans.schema import EXTRACTED
+from tessera.sources.shared import stored
 from tessera.sources.store import Store, project_name
 from tessera.sources.tree import list_tree, read_tree
 from tessera.sources.tsconfig import read_aliases
 
-#: Files are numbered in buckets by so many first characters of their path.
-PREFIX = 12
-
 
 def extract_tree(files: DataFrame, namespace_imports: bool = True) -> DataFrame:
     """One row a file, with its symbols, imports and calls as arrays, in Arrow batches; error tells why there are none."""
@@ -42,7 +40,7 @@ def extract_tree(files: DataFrame, namespace_imports: bool = True) -> DataFrame:
 def index_tables(extracted: DataFrame, listing: DataFrame, root: str, aliases: list[tuple[str, str]]) -> dict[str, DataFrame]:
     """The five tables. extracted is read several times: give a stored table."""
     good = extracted.where("error is null")
-    files = gapless_ids(good.select("path", "rel_path", "language", "lines", "bytes"), F.substring("rel_path", 1, PREFIX), ["rel_path"])
+    files = numbered(good.select("path", "rel_path", "language", "lines", "bytes"), ["rel_path"])
     ids = files.select("path", F.col("id").alias("file_id"))
     keyed = good.join(ids, "path")
 
@@ -50,16 +48,16 @@ def index_tables(extracted: DataFrame, listing: DataFrame, root: str, aliases: l
         """The column's elements, one a row, with file_id and their place."""
         return keyed.select("file_id", F.posexplode(column).alias("place", "x")).select("file_id", "place", "x.*")
 
-    symbols = gapless_ids(rows("symbols"), F.col("file_id"), ["place"])
+    symbols = numbered(rows("symbols"), ["file_id", "place"])
     last = symbols.groupBy("file_id", "name").agg(F.max("id").alias("caller_symbol_id"))  # of equal names the last one calls
-    calls = gapless_ids(rows("call_edges"), F.col("file_id"), ["place"]).select("id", "file_id", F.col("name").alias("callee_name"), F.col("caller_symbol_name").alias("caller"))
+    calls = numbered(rows("call_edges"), ["file_id", "place"]).select("id", "file_id", F.col("name").alias("callee_name"), F.col("caller_symbol_name").alias("caller"))
     calls = calls.join(last.select(F.col("file_id").alias("f"), F.col("name").alias("n"), "caller_symbol_id"), (F.col("file_id") == F.col("f")) & (F.col("caller") == F.col("n")), "left")
     none = F.lit(None).cast("long")
     calls = calls.select("id", F.col("file_id").alias("caller_file_id"), "caller_symbol_id", "callee_name", none.alias("callee_symbol_id"), none.alias("callee_file_id"), F.lit(False).alias("resolved"))
-    imports = gapless_ids(rows("imports"), F.col("file_id"), ["place"])
+    imports = numbered(rows("imports"), ["file_id", "place"])
     imports = resolve.with_file_ids(resolve.resolve(imports, listing, root, aliases), files)
     edges = resolve.edges_of_imports(imports).withColumnRenamed("id", "import_id")
-    edges = gapless_ids(edges, F.col("source_file_id"), ["import_id"])
+    edges = numbered(edges, ["source_file_id", "import_id"])
     return {"files": files.withColumn("indexed_at", F.current_timestamp()), "symbols": symbols, "imports": imports, "call_edges": calls, "dependency_edges": edges}
 
 
@@ -69,15 +67,11 @@ def index_project(spark: SparkSession, path: str, name: str | None = None, home:
     name = name or project_name(root)
     scanned = read_tree(spark, root)
     began = time.time()
-    work = f"{store.home}/projects/.{name}-extracted"
-    extract_tree(scanned).write.mode("overwrite").parquet(work)
-    extracted = spark.read.schema(EXTRACTED).parquet(work)
+    extracted = stored(extract_tree(scanned), "extracted")
     if verbose:
         for r in extracted.select("rel_path", F.size("symbols").alias("n"), "error").orderBy("rel_path").toLocalIterator():
             print(f"  {r.rel_path}: {r.error or f'{r.n} symbols'}")
     store.write(name, index_tables(extracted, list_tree(spark, root), root, read_aliases(root)))
     index = store.read(name)
     out = {"files": index.files.count(), "errors": extracted.where("error is not null").count(), "symbols": index.symbols.count(), "imports": index.imports.count(), "calls": index.call_edges.count(), "deps": index.dependency_edges.where("resolved").count()}
-    fs, at = store._fs(work)
-    fs.delete(at, True)
     return out | {"elapsed": time.time() - began}

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.numbering import in_order
 from tessera.operators import graph, render, resolve
 from tessera.operators import queries as q
+from tessera.plans import samples
 from tessera.plans.bridge import SQL, bridge, table
 from tessera.plans.schema import Index
 
-CALL_START, DEPTH = "small ring", 3
+CALL_START, DEPTH, DEEP = "small ring", 3, 6
 SYMBOL = ["id", "name", "kind", "rel_path", "line_start"]
 ALIASES = [("@", "src")]
 
@@ -56,13 +58,13 @@ def _edges_of_imports(index: Index) -> DataFrame:
     return resolve.edges_of_imports(resolve.with_file_ids(_resolved(index), files)).groupBy(F.col("source_file_id").alias("file_id"), "resolved").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _search(f: Callable, key: str | None) -> Callable[[Index], DataFrame]:
+def _search(f: Callable, key: str | None, depth: int = DEPTH) -> Callable[[Index], DataFrame]:
     """depth, node and number of neighbours of a search from the call start or from the busiest file."""
     name = "n_callees" if key is None else "n_neighbours"
 
     def run(index: Index) -> DataFrame:
         start = CALL_START if key is None else _busy_file(index, key)
-        return f(index, start, DEPTH).select("depth", "node", F.size("neighbours").cast("long").alias(name))
+        return f(index, start, depth).select("depth", "node", F.size("neighbours").cast("long").alias(name))
 
     return run
 
@@ -104,22 +106,29 @@ _INDEX_QUERIES: dict[str, Callable[[Index], DataFrame]] = {
     "upstream_bfs": _search(graph.upstream, "target_file_id"),
     "downstream_bfs": _search(graph.downstream, "source_file_id"),
     "bfs_rank_order": lambda i: graph.downstream(i, _busy_file(i, "source_file_id"), DEPTH).select("depth", "rank", "node"),
-    "mermaid_deps": lambda i: render.diagram_lines(i.files.sparkSession, render.dependency_diagram(i, _busy_file(i, "source_file_id"), max_depth=DEPTH)),
-    "mermaid_calls": lambda i: render.diagram_lines(i.files.sparkSession, render.call_diagram(i, CALL_START, DEPTH)),
+    "call_chain_deep": _search(graph.call_chain, None, DEEP),
+    "downstream_deep": _search(graph.downstream, "source_file_id", DEEP),
+    "find_symbols_order": lambda i: in_order(q.find_symbols(i, "%RING%"), "place").select("place", "id"),
+    "symbols_in_file_order": lambda i: in_order(q.symbols_in_file(i, "N1/"), "place").select("place", "id"),
+    "list_symbols_order": lambda i: in_order(q.list_symbols(i, exported_only=True), "place").select("place", "id"),
+    "imports_of_symbol_order": lambda i: in_order(q.imports_of_symbol(i, "CLICK"), "place").select("place", "id"),
+    "callers_order": lambda i: in_order(q.callers(i, CALL_START), "place").select("place", "id"),
+    "mermaid_deps": lambda i: render.dependency_diagram(i, _busy_file(i, "source_file_id"), max_depth=DEPTH),
+    "mermaid_calls": lambda i: render.call_diagram(i, CALL_START, DEPTH),
     "resolve_alias_prefix": lambda i: i.imports.select("id", F.when(resolve.is_internal(F.col("source_path")), resolve.apply_aliases(F.col("source_path"), ALIASES)).alias("resolved_rel")),
     "resolve_first_candidate": lambda i: _resolved(i).select("id", "resolved_path", F.col("resolved_abs").isNotNull().alias("hit")),
     "dep_edges_from_imports": _edges_of_imports,
     "caller_last_wins": lambda i: i.symbols.groupBy("file_id", "name").agg(F.max("id").alias("id")),
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _over_index(f) for k, f in _INDEX_QUERIES.items()}
-QUERIES |= {"page_links_extract": _page_links, "page_calls_extract": _page_calls}
+QUERIES |= {"page_links_extract": _page_links, "page_calls_extract": _page_calls} | samples.QUERIES
 
 
-def _bfs_sql(edges: str, start: str, count: str, follow: str | None = None) -> str:
+def _bfs_sql(edges: str, start: str, count: str, follow: str | None = None, levels: int = DEPTH) -> str:
     """Breadth-first search in SQL: edges is the body of a CTE (s, t, ord); each emitted node's depth and number of edges."""
     return (
         f"{SQL}, edges AS ({edges}), followed AS ({follow or 'SELECT s, t FROM edges'}), origin AS ({start}),"
-        f" walk(depth, node) AS (SELECT 0, node FROM origin UNION SELECT depth + 1, t FROM walk JOIN followed ON s = node WHERE depth < {DEPTH - 1}),"
+        f" walk(depth, node) AS (SELECT 0, node FROM origin UNION SELECT depth + 1, t FROM walk JOIN followed ON s = node WHERE depth < {levels - 1}),"
         f" nodes AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"
         f" SELECT depth, node, (SELECT count(*) FROM edges WHERE s = node) AS {count} FROM nodes"
     )
@@ -188,6 +197,13 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "upstream_bfs": _bfs_sql("SELECT target_rel AS s, source_rel AS t, id AS ord FROM dep_paths", f"SELECT rel_path AS node FROM files WHERE id = ({_busy_sql('target_file_id')})", "n_neighbours"),
     "downstream_bfs": _bfs_sql("SELECT source_rel AS s, target_rel AS t, id AS ord FROM dep_paths", f"SELECT rel_path AS node FROM files WHERE id = ({_busy_sql('source_file_id')})", "n_neighbours"),
+    "call_chain_deep": _bfs_sql(_CALLS, f"SELECT '{CALL_START}' AS node", "n_callees", _FOLLOWED_CALLS, DEEP),
+    "downstream_deep": _bfs_sql("SELECT source_rel AS s, target_rel AS t, id AS ord FROM dep_paths", f"SELECT rel_path AS node FROM files WHERE id = ({_busy_sql('source_file_id')})", "n_neighbours", None, DEEP),
+    "find_symbols_order": f"{SQL} SELECT row_number() OVER (ORDER BY rel_path, line_start, s.id) AS place, s.id {_SYMBOLS} WHERE lower(name) LIKE '%ring%'",
+    "symbols_in_file_order": f"{SQL} SELECT row_number() OVER (ORDER BY line_start, s.id) AS place, s.id {_SYMBOLS} WHERE lower(rel_path) LIKE '%n1/%'",
+    "list_symbols_order": f"{SQL} SELECT row_number() OVER (ORDER BY kind, name, s.id) AS place, s.id {_SYMBOLS} WHERE is_export",
+    "imports_of_symbol_order": f"{SQL} SELECT row_number() OVER (ORDER BY rel_path, i.id) AS place, i.id {_IMPORTS} WHERE lower(symbol_name) LIKE 'click'",
+    "callers_order": f"{SQL} SELECT row_number() OVER (ORDER BY ce.id) AS place, ce.id FROM call_edges ce JOIN files f ON f.id = ce.caller_file_id WHERE callee_name = '{CALL_START}'",
     "bfs_rank_order": (
         f"{SQL}, walk(depth, node, place) AS (SELECT 0, rel_path, CAST([] AS BIGINT[]) FROM files WHERE id = ({_busy_sql('source_file_id')})"
         f" UNION SELECT depth + 1, target_rel, list_append(place, id) FROM walk JOIN dep_paths ON source_rel = node WHERE depth < {DEPTH - 1}),"
@@ -203,3 +219,4 @@ ORACLE_SQL: dict[str, str] = {
     "page_links_extract": "SELECT page_id, unnest(generate_series(1, len(l))) AS pos, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM pages)",
     "page_calls_extract": "SELECT page_id, callee, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '([A-Za-z_]+)\\(', 1)) AS callee FROM pages) GROUP BY ALL",
 }
+ORACLE_SQL |= samples.ORACLE_SQL

@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.numbering import gapless_ids
+from tessera.functions.numbering import in_order, numbered, numbered_within
 from tessera.functions.text import ascii_like, base_name, normal_path
 from tessera.operators import graph, queries, render, resolve
 from tessera.plans.schema import CALL_EDGES, DEPENDENCY_EDGES, FILES, IMPORTS, SYMBOLS, Index
@@ -84,10 +84,14 @@ def test_paths(spark):
     assert [r[1] for r in got] == [p.rsplit("/", 1)[-1] for p in paths]
 
 
-def test_gapless_ids(spark):
-    df = spark.createDataFrame([(i * 1500, i) for i in random.Random(1).sample(range(50), 50)], "b int, k int")
-    for bucket in (F.col("b"), F.format_string("%010d", "b")):
-        assert [(r.id, r.k + 1) for r in gapless_ids(df, bucket, ["k"]).orderBy("id").collect()] == [(i, i) for i in range(1, 51)]
+def test_numbers(spark):
+    rows = [(f"src/components/{i % 7}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(5)
+    want = {row: n for n, row in enumerate(sorted(rows), 1)}
+    assert {(r.k, r.v): r.id for r in numbered(df, ["k", "v"]).collect()} == want
+    assert {(r.k, r.v): r.n for r in numbered_within(df, "k", ["v"], "n").collect()} == {(k, v): sum(x == k and y <= v for x, y in rows) for k, v in rows}
+    assert [(r.v, r.place) for r in in_order(df.orderBy(F.desc("v")), "place").orderBy("place").collect()] == [(299 - i, i + 1) for i in range(300)]
+    assert numbered(df.limit(0), ["k", "v"]).count() == 0 == numbered_within(df.limit(0), "k", ["v"], "n").count()
 
 
 def queue_search(adjacency, start, max_depth, cap=None):
@@ -131,10 +135,10 @@ def test_diagrams(spark, index):
     deps = [{"id": i, "source_file_id": 1, "target_file_id": 2, "resolved": True} for i in (1, 2)]
     ix = index._replace(dependency_edges=frame(spark, DEPENDENCY_EDGES, deps))
     want = ["```mermaid", "graph TD", '    a_ts_0["a.ts"]', '    b_ts_1["b.ts"]', "    a_ts_0 --> b_ts_1", "    a_ts_0 --> b_ts_1", "```"]
-    assert render.dependency_diagram(ix, "src/a.ts").split("\n") == want
-    up = render.dependency_diagram(ix, "src/b.ts", "upstream", 1).split("\n")
+    assert render.text(render.dependency_diagram(ix, "src/a.ts")).split("\n") == want
+    up = render.text(render.dependency_diagram(ix, "src/b.ts", "upstream", 1)).split("\n")
     assert up == ["```mermaid", "graph TD", '    b_ts_0["b.ts"]', '    a_ts_1["a.ts"]', "    a_ts_1 --> b_ts_0", "    a_ts_1 --> b_ts_0", "```"]
-    assert render.call_diagram(ix, "foo").split("\n") == ["```mermaid", "graph TD", '    foo["foo()"]', '    bar["bar()"]', "    foo --> bar", "```"]
+    assert render.text(render.call_diagram(ix, "foo")).split("\n") == ["```mermaid", "graph TD", '    foo["foo()"]', '    bar["bar()"]', "    foo --> bar", "```"]
 
 
 def test_resolution(spark):

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -100,6 +101,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return Stored(df, name).read()
 
 
+#: Rows of few columns that a shuffle partition is worth.
+ROWS_A_PARTITION = 50_000
+
+
+@contextmanager
+def sized(spark: SparkSession, rows: int, most: int | None = None) -> Iterator[None]:
+    """What runs inside shuffles into as many partitions as so many rows are worth, and no more than `most` or than are set; the setting comes back after."""
+    name = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(max(1, min(most or int(was), -(-rows // ROWS_A_PARTITION)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def bucket_of(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n. A null id counts as an empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stored
+from tessera.llm.common import Stored, sized
 
 
 def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
@@ -16,6 +16,12 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
     neighbour and is written to the shared folder; it ends when a round changes nothing. A hub's edges meet only in
     minimums, which combine before the shuffle, and in inner joins, which Spark can split. Edges and components never leave the executors.
     """
+    given = Stored(edges.select("u", "v"), name)
+    with sized(edges.sparkSession, 2 * given.read().count()):
+        return _settle(given.read(), name, max_rounds).read()
+
+
+def _settle(edges: DataFrame, name: str, max_rounds: int) -> Stored:
     both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     now = Stored(both.where("u != v"), name)
@@ -42,7 +48,9 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
     else:
         raise RuntimeError("components did not settle")
     roots = now.read().select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    out = Stored(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), name)
+    now.drop()
+    return out
 
 
 def _mark(e: DataFrame) -> tuple:

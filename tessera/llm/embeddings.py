@@ -248,7 +248,7 @@ def near_duplicates(vectors: DataFrame, vec: str = "embedding", id_col: str = "v
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(node[some], u)), pa.array(np.append(np.full(some.sum(), -1), v)), pa.array(np.append(counts[some], np.zeros(len(u), np.int64)))], names=["u", "v", "n"])
 
     found = Stored(tasks.repartition(F.xxhash64("a", "b")).mapInArrow(compare, "u long, v long, n long"), "vector-links").read()
-    roots = Stored(connected_components(found.where("v >= 0").select("u", "v"), "vector-components"), "vector-roots").read()
+    roots = connected_components(found.where("v >= 0").select("u", "v"), "vector-components")
     links = found.where("v < 0").groupBy("u").agg(F.sum("n").alias("n"))
     nodes = blocks.select(F.inline("members"))
     nodes = nodes.join(links, nodes.node == links.u, "left").drop("u").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")

@@ -10,8 +10,8 @@ from tessera.llm.common import Stored, running_order, shuffle_partitions
 SHARDS = 8
 #: Rounds in a row without fewer split groups, each under new lots, after which what is split counts as settled.
 PATIENCE = 6
-#: Groups with over a quarter of a shard's rows are dealt by the driver; fewer than four a shard can exist.
-GIANT = 4
+#: Parts of a group that move as one are a shard's rows by so many at most (about); so a group of any size moves part by part, and one that no shard holds fills several.
+FINE = 64
 #: Lots in which a round's moves are admitted, shared among the shards they come from: the driver sees one row a pair of shards and lot.
 LOTS = 1024
 #: A shard may pass its quota by one row in so many during the rounds, so that full shards can exchange parts of unequal size.
@@ -32,21 +32,6 @@ def _by_share(shares: list[tuple[int, float]], key: Column) -> Column:
     return out.cast("int")
 
 
-def _deal_giants(giants: list[tuple[str, int]], capacity: int, shards: int) -> dict[str, list[tuple[int, float]]]:
-    """Shards with numbers for each giant group, largest first: each fills the emptiest shards in turn."""
-    room, out = [float(capacity)] * shards, {}
-    for gid, n in sorted(giants, key=lambda x: (-x[1], x[0])):
-        left, parts = float(n), []
-        while left > 0 and len(parts) < shards:
-            s = max(range(shards), key=lambda i: (room[i], -i))
-            take = min(left, room[s]) if room[s] >= 1 else left
-            parts.append((s, take))
-            room[s] -= take
-            left -= take
-        out[gid] = parts
-    return out
-
-
 def _admit(asked: dict[tuple[int, int], list[tuple[int, int]]], free: dict[int, int]) -> dict[tuple[int, int], int]:
     """The last lot admitted of each pair (from, to), -1 for none. asked: lots with their rows; free: what each shard has room for.
 
@@ -80,8 +65,8 @@ def _admit(asked: dict[tuple[int, int], list[tuple[int, int]]], free: dict[int,
     return out
 
 
-def propagate(state: DataFrame, taken: dict[int, int], capacity: int, shards: int) -> tuple[DataFrame, dict[int, int]]:
-    """Rounds of label propagation on (gid, first, shard, n): parts of groups with the shard they began in and are in.
+def propagate(state: DataFrame, capacity: int, shards: int) -> tuple[DataFrame, dict[int, int]]:
+    """Rounds of label propagation on (gid, first, sub, shard, n): parts of groups, by the shard they began in and a number, with the shard they are in.
 
     In each round every part wants to be where most of its group is, among the shards with room; ties fall anew each round. Wants are admitted in lots, by a hash that changes each round,
     as long as the target's quota (capacity less what it holds) lasts; opposite wants of full shards are swapped. After a round that brought
@@ -93,17 +78,17 @@ def propagate(state: DataFrame, taken: dict[int, int], capacity: int, shards: in
     fewest, idle, step = None, 0, 0
     while True:
         now = at.read()
-        load = {s: taken.get(s, 0) for s in range(shards)}
+        load = dict.fromkeys(range(shards), 0)
         for r in now.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # one row a shard
             load[r.shard] += r.n
         sizes = now.groupBy("gid", "shard").agg(F.sum("n").alias("n"))
         room = F.element_at(F.array(*[F.lit(load[s] < capacity) for s in range(shards)]), F.col("shard") + 1)
         weight = F.lit(0).cast("long") if idle else F.col("n")
         best = sizes.groupBy("gid").agg(F.max(F.struct(room.alias("room"), weight.alias("n"), F.xxhash64("gid", "shard", F.lit(step)), "shard")).alias("b")).select(F.col("gid").alias("g"), F.col("b.shard").alias("to"))
-        lot = F.pmod(F.xxhash64("gid", F.lit(step)), F.lit(lots)).cast("int")
-        wants = now.join(best, now.gid == best.g).select("gid", "first", "shard", "n", "to", lot.alias("lot"))
+        lot = F.pmod(F.xxhash64("gid", "sub", F.lit(step)), F.lit(lots)).cast("int")
+        wants = now.join(best, now.gid == best.g).select("gid", "first", "sub", "shard", "n", "to", lot.alias("lot"))
         wants = Stored(wants, "sharding-wants")
-        apart = wants.read().where("shard != to").groupBy("gid", "shard", "to", "lot").agg(F.sum("n").alias("n"))
+        apart = wants.read().where("shard != to").groupBy("gid", "sub", "shard", "to", "lot").agg(F.sum("n").alias("n"))
         rows = apart.groupBy("shard", "to", "lot").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).orderBy("shard", "to", "lot").collect()  # at most lots a pair
         parts = sum(r.parts for r in rows)  # 0: no group is split
         if fewest is None or parts < fewest:
@@ -119,7 +104,7 @@ def propagate(state: DataFrame, taken: dict[int, int], capacity: int, shards: in
         upto = _admit(asked, {s: capacity + max(1, capacity // SLACK) - load[s] for s in range(shards)})
         limits = F.array(*[F.lit(upto.get((s, t), -1)) for s in range(shards) for t in range(shards)])
         limit = F.element_at(limits, F.col("shard") * shards + F.col("to") + 1)
-        moved = wants.read().select("gid", "first", F.when(F.col("lot") <= limit, F.col("to")).otherwise(F.col("shard")).alias("shard"), "n")
+        moved = wants.read().select("gid", "first", "sub", F.when(F.col("lot") <= limit, F.col("to")).otherwise(F.col("shard")).alias("shard"), "n")
         old, at = at, Stored(moved, "sharding-state")
         old.drop()
         wants.drop()
@@ -131,7 +116,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", id_col: str
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of docs; law `rows`: counts differ by one at most.
 
     Documents are linked if their `link` values are equal (default: equal texts). Linked ones are brought together by label
-    propagation under quotas; groups of over a quarter of a shard fill shards one after the other, as no shard may hold them; documents without links fill
+    propagation under quotas, groups of any size part by part; one that is larger than a shard fills shards one after the other. Documents without links fill
     what is left. At last all rows, in the order of their shards, are cut at equal ranks, which moves documents without links over
     the borders first. slot: gapless from 0 in each shard. A null text counts as empty (size 1); repeated rows are placed each; a null doc_id
     stays null; fewer rows than shards leave shards empty; an empty table gives an empty result; extra columns don't matter.
@@ -140,28 +125,21 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", id_col: str
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     gid = F.sha2(t.cast("binary"), 256) if link is None else F.sha2(link.cast("string").cast("binary"), 256)
     base = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(t).cast("long") + 1).alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.coalesce(gid, F.uuid()).alias("gid"))
-    rows = Stored(base, "sharding-rows").read()
+    rows = Stored(base.withColumn("spread", F.xxhash64("doc_id", F.monotonically_increasing_id())), "sharding-rows").read()  # equal ids, and none, spread too
     sizes = Stored(rows.groupBy("gid").agg(F.count(F.lit(1)).alias("total")).where("total > 1"), "sharding-groups").read()
     n = rows.count()
     capacity = -(-n // shards)
-    giants = [(r.gid, r.total) for r in sizes.where(F.col("total") * GIANT > F.lit(capacity)).collect()]  # fewer than GIANT * shards, and pairs in tiny tables
-    dealt = _deal_giants(giants, capacity, shards)
-    taken = {s: round(sum(x for parts in dealt.values() for k, x in parts if k == s)) for s in range(shards)}
-    rows = rows.withColumn("first", _by_share([(s, capacity - taken[s]) for s in range(shards)], F.concat_ws("-", F.lit("first"), F.col("doc_id").cast("string"))))
-    names = sorted(dealt)
-    is_giant = F.col("gid").isin(names) if names else F.lit(False)
-    linked = rows.where(~is_giant).join(sizes.select("gid"), "gid", "left_semi")
-    state, load = propagate(linked.groupBy("gid", "first").agg(F.count(F.lit(1)).alias("n")).select("gid", "first", F.col("first").alias("shard"), "n"), taken, capacity, shards)
-    parts = state.select(F.col("gid").alias("g"), F.col("first").alias("f"), F.col("shard").alias("label"))
-    rest = rows.where(~is_giant)
-    labelled = rest.join(parts, (rest["gid"] == parts["g"]) & (rest["first"] == parts["f"]), "left").drop("g", "f")
+    first = F.pmod(F.xxhash64("spread", F.lit(17)), F.lit(shards)).cast("int")
+    sub = F.pmod(F.xxhash64("spread", F.lit(31)), F.ceil(F.col("total") / F.lit(max(1, capacity // FINE)))).cast("int")
+    known = rows.join(sizes, "gid", "left").withColumn("first", first).withColumn("sub", F.when(F.col("total") * FINE > F.lit(capacity), sub).otherwise(0))
+    linked = known.where("total is not null").groupBy("gid", "first", "sub").agg(F.count(F.lit(1)).alias("n"))
+    state, load = propagate(linked.select("gid", "first", "sub", F.col("first").alias("shard"), "n"), capacity, shards)
+    parts = state.select(F.col("gid").alias("g"), F.col("first").alias("f"), F.col("sub").alias("u"), F.col("shard").alias("label"))
+    labelled = known.join(parts, (known["gid"] == parts["g"]) & (known["first"] == parts["f"]) & (known["sub"] == parts["u"]), "left").drop("g", "f", "u")
     alone = F.col("label").isNull()
-    filler = _by_share([(s, capacity - load[s]) for s in range(shards)], F.concat_ws("-", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string")))
-    half = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2)) * 2
+    filler = _by_share([(s, capacity - load[s]) for s in range(shards)], F.concat_ws("-", F.col("spread").cast("string"), F.col("text_crc32").cast("string")))
+    half = F.pmod(F.xxhash64("spread", F.lit(29)), F.lit(2)) * 2
     labelled = labelled.withColumn("kind", F.when(alone, half).otherwise(1).cast("int")).withColumn("label", F.coalesce("label", filler))
-    for name in names:
-        own = rows.where(F.col("gid") == name)
-        labelled = labelled.unionByName(own.withColumn("label", _by_share(dealt[name], F.col("doc_id").cast("string"))).withColumn("kind", F.lit(1)))
     keys = ["label", "kind", "gid", "doc_id"]
     placed, total = running_order(labelled.select("doc_id", "size", "text_crc32", "gid", "label", "kind"), keys, None, shuffle_partitions(spark), "sharding-order")
     number = F.expr(f"((pos + 1) * {shards} - 1) div {max(1, total)}")

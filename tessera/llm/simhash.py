@@ -271,7 +271,7 @@ def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     """
     table = Stored(fingerprints(docs, text, id_col, width), "fingerprints").read()
     least = table.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = Stored(connected_components(Stored(near_edges(table, radius), "fp-edges").read(), "fp-components"), "fp-roots").read()
+    roots = connected_components(near_edges(table, radius), "fp-components")
     named = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(ids, "root").select(F.col("fp").alias("of_fp"), "component_id")

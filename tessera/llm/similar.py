@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stored, pair_hash, ship
+from tessera.llm.common import Stored, pair_hash, shuffle_partitions, sized, ship
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import deal, majority, near_pairs, whole_tasks
 
@@ -20,7 +20,7 @@ RADIUS = 28
 #: Documents (in expectation, by hash) and shingles that say which shingles are frequent. This decides the order of shingles only, never the links.
 ORDER_DOCUMENTS, ORDER_SHINGLES = 5_000, 300_000
 #: A document's nearest candidates that are looked at in the first round of comparisons, and by how much each round looks at more.
-NEAREST, MORE = 4, 4
+NEAREST, MORE = 8, 16
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -92,7 +92,7 @@ def similar_components(rows: DataFrame, text: str = "text", width: int = 5, simi
     Candidates: in any common order of shingles, sets of n shingles that are so similar share one of their first n - ceil(similarity * n) + 1,
     and have enough shingles left after the first they share. So the documents of a shingle are a group, and no pair is missed. Groups are compared by the
     bit planes of their fingerprints; candidates within RADIUS bits are compared by their whole sets. What links have joined already isn't compared
-    again: first each document meets the smallest of its groups, twice; then rounds look at ever more of each document's nearest candidates, until none is left.
+    again: first each document meets two of each of its groups; then rounds look at ever more of each document's nearest candidates, until none is left.
     """
     percent = round(100 * similarity)
     ship(rows.sparkSession)
@@ -104,52 +104,57 @@ def similar_components(rows: DataFrame, text: str = "text", width: int = 5, simi
     shared = places.join(groups, "h", "left_semi")
     posts = Stored(shared.join(all_signed.select("node", "n", "fp"), "node").select("h", "node", "n", (F.col("n") - F.col("place")).alias("rest"), "fp"), "similar-posts").read()
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) whose whole sets have the similarity. Only their texts are read again."""
-        need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    partitions = shuffle_partitions(rows.sparkSession)
+    with sized(rows.sparkSession, posts.count()):  # what follows is small beside the texts, or as large as the posts are
+        roots = _rounds(posts, signed, rows, text, width, percent, partitions)
+    named = texts.join(roots, texts["first"] == roots["node"], "left").select("key", F.coalesce("root", "first").alias("root"))
+    return all_signed.select("node", "key").join(named, "key").select("node", "root")
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, text: str, width: int, percent: int, partitions: int) -> DataFrame:
+    """The pairs (u, v) whose whole sets have the similarity. Only their texts are read again."""
+    need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    with sized(rows.sparkSession, 1 << 60, partitions):  # texts may move
         sets = Stored(_sets(rows.join(need, "node", "left_semi"), text, width), "similar-sets").read()
-        a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "uv")
-        same = F.size(F.array_intersect("hu", "hv"))
-        return pairs.join(a, "u").join(b, "v").where(same * (100 + percent) >= (F.size("hu") + F.size("hv")) * percent).select("u", "v")
+    a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "uv")
+    same = F.size(F.array_intersect("hu", "hv"))
+    return pairs.join(a, "u").join(b, "v").where(same * (100 + percent) >= (F.size("hu") + F.size("hv")) * percent).select("u", "v")
+
+
+def _rounds(posts: DataFrame, signed: DataFrame, rows: DataFrame, text: str, width: int, percent: int, partitions: int) -> DataFrame:
+    """(node, root) of all nodes with links. posts: (h, node, n, rest, fp), the members of groups."""
 
     def may_link(n: Column, m: Column, rest: Column, other: Column) -> Column:
         return F.least(rest, other) * (100 + percent) >= (n + m) * percent
 
     wordless = signed.where("n = 0").select("node")
     links = Stored(wordless.crossJoin(F.broadcast(wordless.agg(F.min("node").alias("v")))).select(F.col("node").alias("u"), "v"), "similar-links")  # one row is broadcast
-    tested: DataFrame | None = None
 
     def learn(pairs: DataFrame, links: Stored, tested: DataFrame | None) -> tuple[Stored, DataFrame, DataFrame]:
         """Tests what is not tested yet; gives the links, all tested pairs and the components."""
-        new = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
-        new = Stored(new, "similar-pairs").read()
-        found = Stored(links.read().union(similar(new)), "similar-links")
-        return found, new if tested is None else tested.union(new), Stored(connected_components(found.read(), "similar-components"), "similar-roots").read()
-
-    def apart(roots: DataFrame) -> DataFrame:
-        """The posts of groups that links have not joined wholly, with their roots."""
-        now = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
-        return Stored(now.join(mixed, "h", "left_semi"), "similar-apart").read()
-
-    now = posts.withColumn("root", F.col("node"))
-    for turn in range(2):
-        first = F.min(F.struct(*([F.xxhash64("node")] if turn else []), "node", "n", "rest", "fp", "root")).alias("p")
-        met = now.join(now.groupBy("h").agg(first), "h").where((F.col("root") != F.col("p.root")) & may_link(F.col("n"), F.col("p.n"), F.col("rest"), F.col("p.rest")))
-        met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= RADIUS)
-        pairs = met.select(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v")).distinct()
-        links, tested, roots = learn(pairs, links, tested)
-        now = apart(roots)
+        new = Stored(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "similar-pairs").read()
+        found = Stored(links.read().union(_similar(new, rows, text, width, percent, partitions)), "similar-links")
+        return found, new if tested is None else tested.union(new), connected_components(found.read(), "similar-components")
+
+    # every document meets two of each of its groups: the first, and one that a hash picks
+    pick = lambda *by: F.min(F.struct(*by, "node", "n", "rest", "fp"))
+    picks = posts.groupBy("h").agg(pick().alias("p"), pick(F.xxhash64("node").alias("by")).alias("q"))
+    met = posts.join(picks, "h").select("node", "n", "rest", "fp", F.explode(F.array("p", F.struct("q.node", "q.n", "q.rest", "q.fp"))).alias("p"))
+    met = met.where((F.col("node") != F.col("p.node")) & may_link(F.col("n"), F.col("p.n"), F.col("rest"), F.col("p.rest")))
+    met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= RADIUS)
+    links, tested, roots = learn(met.select(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v")).distinct(), links, None)
 
     nearest = NEAREST
     while True:
-        found = Stored(_nearest(now, percent, nearest), "similar-nearest").read()
+        now = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
+        apart = Stored(now.join(mixed, "h", "left_semi"), "similar-apart")
+        found = Stored(_nearest(apart.read(), percent, nearest), "similar-nearest").read()
         links, tested, roots = learn(found.where("u >= 0").distinct(), links, tested)
+        apart.drop()
         if found.where("u < 0").isEmpty():
-            break
-        now, nearest = apart(roots), nearest * MORE
-    named = texts.join(roots, texts["first"] == roots["node"], "left").select("key", F.coalesce("root", "first").alias("root"))
-    return all_signed.select("node", "key").join(named, "key").select("node", "root")
+            return roots
+        nearest *= MORE
 
 
 def _nearest(posts: DataFrame, percent: int, nearest: int) -> DataFrame:

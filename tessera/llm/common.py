@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
+from tessera.sources.shared import shared_folder
+
 PACKAGE = Path(__file__).resolve().parent.parent
 
 #: ASCII white space, the only white space that ends a word: [\x20\x09-\x0D].
@@ -49,17 +51,6 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if getattr(sc, "_tessera_folder", None) is None:
-            sc._tessera_folder = Path(tempfile.mkdtemp(prefix="tessera-shared-")).as_uri()
-        folder = sc._tessera_folder
-    return folder.rstrip("/")
-
-
 def _files(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
@@ -101,6 +92,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return Stored(df, name).read()
 
 
+def stored_alone(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, stored; the tables that it has stored on the way are dropped."""
+    before = list(_tables(spark))
+    out = Stored(make(), name)
+    for table in list(_tables(spark)):
+        if table is not out and not any(table is x for x in before):
+            table.drop()
+    return out.read()
+
+
 #: Rows of few columns that a shuffle partition is worth.
 ROWS_A_PARTITION = 50_000
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stored, sized
+from tessera.llm.common import Stored, sized, stored_alone
 
 
 def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
@@ -18,10 +18,12 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
     """
     given = Stored(edges.select("u", "v"), name)
     with sized(edges.sparkSession, 2 * given.read().count()):
-        return _settle(given.read(), name, max_rounds).read()
+        out = stored_alone(edges.sparkSession, name, lambda: _settle(given.read(), name, max_rounds))
+    given.drop()
+    return out
 
 
-def _settle(edges: DataFrame, name: str, max_rounds: int) -> Stored:
+def _settle(edges: DataFrame, name: str, max_rounds: int) -> DataFrame:
     both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     now = Stored(both.where("u != v"), name)
@@ -48,9 +50,7 @@ def _settle(edges: DataFrame, name: str, max_rounds: int) -> Stored:
     else:
         raise RuntimeError("components did not settle")
     roots = now.read().select(F.col("u").alias("node"), F.col("v").alias("root"))
-    out = Stored(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), name)
-    now.drop()
-    return out
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def _mark(e: DataFrame) -> tuple:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stored, pair_hash, shuffle_partitions, sized, ship
+from tessera.llm.common import Stored, pair_hash, shuffle_partitions, sized, ship, stored_alone
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import deal, majority, near_pairs, whole_tasks
 
@@ -102,11 +102,12 @@ def similar_components(rows: DataFrame, text: str = "text", width: int = 5, simi
     places = signed.select("node", F.posexplode("prefix").alias("place", "h"))
     groups = places.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     shared = places.join(groups, "h", "left_semi")
-    posts = Stored(shared.join(all_signed.select("node", "n", "fp"), "node").select("h", "node", "n", (F.col("n") - F.col("place")).alias("rest"), "fp"), "similar-posts").read()
+    posts = Stored(shared.join(all_signed.select("node", "n", "fp"), "node").select("h", "node", "n", (F.col("n") - F.col("place")).alias("rest"), "fp"), "similar-posts")
 
     partitions = shuffle_partitions(rows.sparkSession)
-    with sized(rows.sparkSession, posts.count()):  # what follows is small beside the texts, or as large as the posts are
-        roots = _rounds(posts, signed, rows, text, width, percent, partitions)
+    with sized(rows.sparkSession, posts.read().count()):  # what follows is small beside the texts, or as large as the posts are
+        roots = stored_alone(rows.sparkSession, "similar-roots", lambda: _rounds(posts.read(), signed, rows, text, width, percent, partitions))
+    posts.drop()
     named = texts.join(roots, texts["first"] == roots["node"], "left").select("key", F.coalesce("root", "first").alias("root"))
     return all_signed.select("node", "key").join(named, "key").select("node", "root")
 

@@ -101,6 +101,11 @@ def _elements(spark: SparkSession, sf_dir: str, column: str, fields: list[str])
     return extracted(spark, sf_dir).select("rel_path", F.posexplode(column).alias("pos", "x")).select("rel_path", "pos", *[F.col(f"x.{f}").alias(f) for f in fields])
 
 
+def _known(column: str):
+    """An id, or -1 for none, which all comparisons read alike."""
+    return F.coalesce(column, F.lit(-1).cast("long")).alias(column)
+
+
 SYMBOL_FIELDS = "name kind line_start line_end signature is_export is_default_export is_async parent_symbol enclosing_type".split()
 IMPORT_FIELDS = "symbol_name alias_name source_path import_type line is_type_import".split()
 QUERIES = {
@@ -110,9 +115,9 @@ QUERIES = {
     "extract_calls": lambda spark, sf_dir: _elements(spark, sf_dir, "call_edges", ["caller_symbol_name", "name"]),
     "index_files": lambda spark, sf_dir: index(spark, sf_dir)["files"].select("id", "path", "rel_path"),
     "index_symbols": lambda spark, sf_dir: index(spark, sf_dir)["symbols"].select("id", "file_id", "name", "kind", "line_start"),
-    "index_imports": lambda spark, sf_dir: index(spark, sf_dir)["imports"].select("id", "file_id", "source_path", "resolved_path", "resolved_file_id"),
+    "index_imports": lambda spark, sf_dir: index(spark, sf_dir)["imports"].select("id", "file_id", "source_path", "resolved_path", _known("resolved_file_id")),
     "index_call_edges": lambda spark, sf_dir: index(spark, sf_dir)["call_edges"].select("id", "caller_file_id", "caller_symbol_id", "callee_name", "resolved"),
-    "index_dependency_edges": lambda spark, sf_dir: index(spark, sf_dir)["dependency_edges"].select("id", "source_file_id", "target_file_id", "resolved"),
+    "index_dependency_edges": lambda spark, sf_dir: index(spark, sf_dir)["dependency_edges"].select("id", "source_file_id", _known("target_file_id"), "resolved"),
 }
 
 
@@ -157,9 +162,9 @@ ORACLE_SQL = {
     "extract_calls": f"{SQL} SELECT rel_path, pos, caller_symbol_name, name FROM calls",
     "index_files": f"{SQL} SELECT id, path, rel_path FROM made",
     "index_symbols": f"{SQL} SELECT id, file_id, name, kind, line_start FROM numbered",
-    "index_imports": f"{SQL} SELECT id, file_id, source_path, resolved_path, resolved_file_id FROM found",
+    "index_imports": f"{SQL} SELECT id, file_id, source_path, resolved_path, coalesce(resolved_file_id, -1) AS resolved_file_id FROM found",
     "index_call_edges": (
         f"{SQL} SELECT c.id, c.file_id AS caller_file_id, (SELECT max(s.id) FROM numbered s WHERE s.file_id = c.file_id AND s.name = c.caller_symbol_name) AS caller_symbol_id, c.name AS callee_name, FALSE AS resolved FROM called c"
     ),
-    "index_dependency_edges": f"{SQL} SELECT row_number() OVER (ORDER BY file_id, id) AS id, file_id AS source_file_id, resolved_file_id AS target_file_id, hit AS resolved FROM found WHERE hit OR source_path <> 'react'",
+    "index_dependency_edges": f"{SQL} SELECT row_number() OVER (ORDER BY file_id, id) AS id, file_id AS source_file_id, coalesce(resolved_file_id, -1) AS target_file_id, hit AS resolved FROM found WHERE hit OR source_path <> 'react'",
 }

@@ -170,21 +170,26 @@ class Forest:
     def __init__(self, n: int):
         self.root = np.arange(n)
 
-    def add(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Links pairs; gives those that join what was apart, at most one a row over all calls."""
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+    def joining(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Links pairs; gives the places of those that join what was apart, at most one a row over all calls."""
+        out, at = [], np.arange(len(i))
         while True:
             a, b = self.root[i], self.root[j]
             apart = a != b
             if not apart.any():
                 break
-            i, j, low, high = i[apart], j[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            i, j, at, low, high = i[apart], j[apart], at[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
             top, first = np.unique(high, return_index=True)
-            out.append((i[first], j[first]))
+            out.append(at[first])
             self.root[top] = low[first]
             while not np.array_equal(self.root, further := self.root[self.root]):
                 self.root = further
-        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (i[:0], j[:0])
+        return np.concatenate(out) if out else at[:0]
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that joining() gives."""
+        at = self.joining(i, j)
+        return i[at], j[at]
 
 
 def deal(rows: DataFrame, keys: list[str], member: str, label: str | None = None) -> DataFrame:
@@ -296,4 +301,5 @@ def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
         of = similar_components(own.select("node", "t"), "t", width or 5, similarity)
     named = own.select("node", "_id").join(of, "node")
     keep = named.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "node")).alias("least")).select(F.col("least.node").alias("_tessera_row"))
+    keep = Stored(keep, "kept-rows").read()  # stored, so that its size is known: documents stay where they are if Spark broadcasts it, which it does by size alone
     return rows.join(keep, "_tessera_row", "left_semi").select(*docs.columns)

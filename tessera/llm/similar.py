@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Stored, pair_hash, shuffle_partitions, sized, ship, stored_alone
 from tessera.llm.components import connected_components
-from tessera.llm.simhash import deal, majority, near_pairs, whole_tasks
+from tessera.llm.simhash import Forest, deal, majority, near_pairs, whole_tasks
 
 #: Differing bits of 64 up to which fingerprints of sets are looked at closely. Of sets with a similarity of 0.8, each bit differs with
 #: odds of 0.152 (the angle of the sets' cosine, 0.889), so that one pair in 10^8 differs in more.
 RADIUS = 28
 #: Documents (in expectation, by hash) and shingles that say which shingles are frequent. This decides the order of shingles only, never the links.
 ORDER_DOCUMENTS, ORDER_SHINGLES = 5_000, 300_000
-#: A document's nearest candidates that are looked at in the first round of comparisons, and by how much each round looks at more.
-NEAREST, MORE = 8, 16
+#: Rounds that look at a spanning forest of candidates alone; a document's nearest candidates that the next one looks at, and by how much each one after looks at more.
+FORESTS, NEAREST, MORE = 2, 8, 16
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -92,7 +92,7 @@ def similar_components(rows: DataFrame, text: str = "text", width: int = 5, simi
     Candidates: in any common order of shingles, sets of n shingles that are so similar share one of their first n - ceil(similarity * n) + 1,
     and have enough shingles left after the first they share. So the documents of a shingle are a group, and no pair is missed. Groups are compared by the
     bit planes of their fingerprints; candidates within RADIUS bits are compared by their whole sets. What links have joined already isn't compared
-    again: first each document meets two of each of its groups; then rounds look at ever more of each document's nearest candidates, until none is left.
+    again: first each document meets two of each of its groups; then rounds look at spanning forests of the candidates that are left, then at ever more of each document's nearest ones, until none is left.
     """
     percent = round(100 * similarity)
     ship(rows.sparkSession)
@@ -114,7 +114,8 @@ def similar_components(rows: DataFrame, text: str = "text", width: int = 5, simi
 
 def _similar(pairs: DataFrame, rows: DataFrame, text: str, width: int, percent: int, partitions: int) -> DataFrame:
     """The pairs (u, v) whose whole sets have the similarity. Only their texts are read again."""
-    need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    # stored, so that its size is known: texts stay where they are if Spark broadcasts it, which it does by size alone
+    need = Stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "similar-need").read()
     with sized(rows.sparkSession, 1 << 60, partitions):  # texts may move
         sets = Stored(_sets(rows.join(need, "node", "left_semi"), text, width), "similar-sets").read()
     a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "uv")
@@ -145,8 +146,9 @@ def _rounds(posts: DataFrame, signed: DataFrame, rows: DataFrame, text: str, wid
     met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= RADIUS)
     links, tested, roots = learn(met.select(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v")).distinct(), links, None)
 
-    nearest = NEAREST
+    turn = 0
     while True:
+        nearest = NEAREST * MORE ** (turn - FORESTS) if turn >= FORESTS else 0
         now = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
         apart = Stored(now.join(mixed, "h", "left_semi"), "similar-apart")
@@ -155,11 +157,11 @@ def _rounds(posts: DataFrame, signed: DataFrame, rows: DataFrame, text: str, wid
         apart.drop()
         if found.where("u < 0").isEmpty():
             return roots
-        nearest *= MORE
+        turn += 1
 
 
 def _nearest(posts: DataFrame, percent: int, nearest: int) -> DataFrame:
-    """Candidates (u, v) of unlike roots; if a document has more than `nearest` in a comparison, the nearest of them and a row (-1, -1)."""
+    """Candidates (u, v) of unlike roots: in each comparison those that join unlike roots, the nearest first, and each document's `nearest`; a row (-1, -1) if there are others."""
     dealt = deal(posts, ["h"], "node", "root").select("task", "side", "node", "n", "rest", "fp", "root")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +180,11 @@ def _nearest(posts: DataFrame, percent: int, nearest: int) -> DataFrame:
                 rank = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
                 keep = np.zeros(len(i), bool)
                 keep[pair[order[rank < nearest]]] = True
+                roots, of = np.unique(np.concatenate([root[i], root[j]]), return_inverse=True)
+                forest, a, b = Forest(len(roots)), of[: len(i)], of[len(i) :]
+                for d in np.unique(apart):
+                    own = np.flatnonzero(apart == d)
+                    keep[own[forest.joining(a[own], b[own])]] = True
                 u, v = node[i[keep]], node[j[keep]]
                 if not keep.all():
                     u, v = np.append(u, -1), np.append(v, -1)

@@ -404,7 +404,7 @@ def test_similar_documents_are_near_copies(spark, monkeypatch):
     root = components_of(links, range(len(texts)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
     want = sorted({*root.values()})
-    for documents, chunk, nearest in ((5_000, 2048, 4), (30, 4, 1)):
+    for documents, chunk, nearest in ((5_000, 2048, 8), (30, 4, 1)):
         monkeypatch.setattr(similar, "ORDER_DOCUMENTS", documents)
         monkeypatch.setattr(similar, "NEAREST", nearest)
         monkeypatch.setattr(simhash, "CHUNK", chunk)

@@ -132,3 +132,20 @@ def test_entry_registers_queries(spark):
     assert set(QUERIES) <= set(entry.queries())
     if os.path.isdir(SF):
         assert entry.entry(spark).columns
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+@pytest.mark.parametrize("table", ["symbols", "imports"])
+def test_made_index_runs_what_it_needs(table, spark, monkeypatch):
+    """Files of one row group are extracted by several tasks, and only files are sorted and numbered, whatever else an index has."""
+    from tessera.functions import numbering
+    from tessera.plans import samples
+
+    runs, was = [], numbering.stored
+    monkeypatch.setattr(numbering, "stored", lambda df, name: runs.append(df.columns) or was(df, name))
+    monkeypatch.setattr(samples, "FILES_A_TASK", 20)
+    assert samples.sources(spark, SF).rdd.getNumPartitions() > 4
+    got = samples.index(spark, SF, table)
+    assert len(runs) == 1 and "rel_path" in runs[0]
+    ids = [r.id for r in got.select("id").orderBy("id").collect()]
+    assert ids == list(range(1, len(ids) + 1)) and ids

@@ -459,3 +459,18 @@ def test_words_that_occur_once_are_learned(spark):
     texts = [(i, t, lang) for i, (lang, t) in zip((i for i in range(100) if not held(i, 4, 2)), texts, strict=False)]
     got = langid.identify(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()
     assert {r.doc_id: r.lang_pred for r in got} == {i: lang for i, _, lang in texts}
+
+
+def test_unrelated_documents_of_a_shingle_are_no_candidates(spark, monkeypatch):
+    """Documents that share a shingle, and nearly the fingerprint's radius, aren't paired unless their sketches are near; near copies always are."""
+    from tessera.llm import similar
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 10**6, 100)) for _ in range(200)]
+    texts += [f"{t[: t.rindex(' ')]} other" for t in texts[:50]]
+    sets = [similar.shingle_set(t.encode(), 5) for t in texts]
+    rows = [(1, i, len(h), len(h), simhash.majority(h.view(np.uint64)), *map(int, similar.sketch(h.view(np.uint64))), i) for i, h in enumerate(sets)]
+    rows = [(*r[:4], int(np.uint64(r[4]).view(np.int64)), *r[5:]) for r in rows]
+    posts = spark.createDataFrame(rows, "h long, node long, n int, rest int, fp long, s long, t long, root long")
+    got = similar._nearest(posts, 80, 8).collect()
+    assert sorted((r.u, r.v) for r in got) == [(i, 200 + i) for i in range(50)]

@@ -17,6 +17,9 @@ SMOOTHING = 1.0
 #: A document stays if its mean log-likelihood ratio is this at least.
 THRESHOLD = -0.2
 
+#: Bits of a bitmap's row; bits for each document, and the least and most of them in a bitmap (two of 16 MB are broadcast at most).
+CHUNK_BITS, BITS_A_KEY, LEAST_BITS, MOST_BITS = 1 << 15, 4, 1 << 21, 1 << 27
+
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
 
 
@@ -66,17 +69,56 @@ def buckets(w: Column) -> Column:
     return F.concat(one, two, end)
 
 
+def _places(key: Column, bits: int) -> list[Column]:
+    """The chunk of a key's bit among so many bits, and the bit's place in the chunk."""
+    at = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(bits))
+    return [F.floor(at / F.lit(CHUNK_BITS)).cast("int").alias("chunk"), F.pmod(at, F.lit(CHUNK_BITS)).alias("bit")]
+
+
+def _has(bitmap: Column, bit: Column) -> Column:
+    """Whether a bitmap has a bit; no bitmap has none."""
+    byte = F.conv(F.hex(F.substr(bitmap, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+
+def _trusted_or_unclear(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """source (key, t) with two booleans: `sure`, the key is one of ids; `unclear`, only a join with ids can tell.
+
+    Ids without texts meet by a shuffle first. Each distinct key of source sets a hashed bit in the bitmap of the keys found or in that of the others. Where
+    one of the two bitmaps alone has a key's bit, its rows are decided where they are. MOST_BITS bounds what is broadcast; past it only more is unclear.
+    """
+    bits = max(LEAST_BITS, min(MOST_BITS, 1 << (BITS_A_KEY * source.count()).bit_length()))
+    keys = source.where("key is not null").select("key").distinct().join(ids, "key", "left")
+    found = F.col("known").isNotNull()
+    # dealt by chunk before the bitmaps are made, so that no task sends more than its rows
+    placed = keys.select(*_places(F.col("key"), bits), found.alias("found")).repartition("chunk")
+    of = lambda which: F.bitmap_construct_agg(F.when(which, F.col("bit")))
+    maps = placed.groupBy("chunk").agg(of(F.col("found")).alias("yes"), of(~F.col("found")).alias("no"))
+    marked = source.select("key", "t", *_places(F.col("key"), bits)).withColumn("chunk", F.when(F.col("key").isNotNull(), F.col("chunk")))
+    marked = marked.join(F.broadcast(maps), "chunk", "left")  # at most MOST_BITS / CHUNK_BITS rows
+    yes, no = _has(F.col("yes"), F.col("bit")), _has(F.col("no"), F.col("bit"))
+    return marked.select("key", "t", (yes & ~no).alias("sure"), (yes & no).alias("unclear"))
+
+
 def weights(docs: DataFrame, trusted: DataFrame, text: str = "text", id_col: str = "doc_id") -> list[float]:
     """log(target / raw) of each bucket: target from every trusted document of docs, raw from every document.
 
-    trusted: a column doc_id. Each task sends at most one row a bucket through the shuffle and the driver gets one row a bucket. Nothing is
-    broadcast by hint: where the ids are too many for Spark to do so, documents and ids meet by a shuffle, in which null ids spread.
+    trusted: a column doc_id. Each task sends at most one row a bucket through the shuffle and the driver gets two rows a bucket. Texts are counted where
+    they are, by bitmaps of hashed ids; only those of unclear ids, some percent, move to meet the trusted ids themselves.
     """
-    ids = trusted.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct().select("t_id", F.concat(F.lit("i"), F.col("t_id").cast("string")).alias("t_key"))
-    source = docs.select(F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.concat(F.lit("n"), F.xxhash64(text).cast("string"))).alias("key"), _text(text).alias("t"))
-    marked = source.join(ids, source.key == ids.t_key, "left")
-    rows = marked.select(F.col("t_id").isNotNull().cast("long").alias("y"), F.explode(_let(words(F.col("t")), buckets)).alias("b"))
-    counts = {r.b: (r.target, r.raw) for r in rows.groupBy("b").agg(F.sum("y").alias("target"), F.count(F.lit(1)).alias("raw")).collect()}
+    ids = trusted.where("doc_id is not null").select(F.col("doc_id").cast("string").alias("key")).distinct().withColumn("known", F.lit(True))
+    source = docs.select(F.col(id_col).cast("string").alias("key"), _text(text).alias("t"))
+    marked = _trusted_or_unclear(source, ids)
+
+    def counted(rows: DataFrame, y: Column, raw: int) -> DataFrame:
+        grams = rows.select(y.cast("long").alias("y"), F.explode(_let(words(F.col("t")), buckets)).alias("b"))
+        return grams.groupBy("b").agg(F.sum("y").alias("target"), F.sum(F.lit(raw)).alias("raw"))
+
+    moved = marked.where("unclear").select("key", "t").join(ids, "key", "left_semi")
+    counts: dict[int, tuple[int, int]] = {}
+    for r in counted(marked, F.col("sure"), 1).union(counted(moved, F.lit(1), 0)).collect():
+        target, raw = counts.get(r.b, (0, 0))
+        counts[r.b] = (target + r.target, raw + r.raw)
     out = []
     for first in range(0, KINDS * BUCKETS, BUCKETS):
         own = [counts.get(b, (0, 0)) for b in range(first, first + BUCKETS)]

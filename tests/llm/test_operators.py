@@ -474,3 +474,35 @@ def test_unrelated_documents_of_a_shingle_are_no_candidates(spark, monkeypatch):
     posts = spark.createDataFrame(rows, "h long, node long, n int, rest int, fp long, s long, t long, root long")
     got = similar._nearest(posts, 80, 8).collect()
     assert sorted((r.u, r.v) for r in got) == [(i, 200 + i) for i in range(50)]
+
+
+def shuffled_bytes(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(s.shuffleWriteBytes() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+
+
+def test_texts_of_trusted_documents_stay_in_place(spark, monkeypatch):
+    """Even where Spark broadcasts no ids; what the bitmaps leave unclear is decided by the ids themselves."""
+    rng = np.random.default_rng(3)
+    rows = [(i % 250 if i % 50 else None, " ".join(map(str, rng.integers(0, 1 << 62, 500).tolist()))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    trusted = spark.createDataFrame([(i,) for i in [*range(3, 140), *range(240, 300), 7, None]], "doc_id long")
+    ids = {r.doc_id for r in trusted.collect()} - {None}
+    plain = rules.weights(docs, docs.where(F.col("doc_id").isin(ids)).select("doc_id"))
+    docs.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_bytes(spark)
+        got = rules.weights(docs, trusted)
+        moved = shuffled_bytes(spark) - before
+        monkeypatch.setattr(rules, "LEAST_BITS", 64)
+        monkeypatch.setattr(rules, "MOST_BITS", 64)
+        unclear = rules._trusted_or_unclear(docs.select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("t")), trusted.select(F.col("doc_id").cast("string").alias("key"), F.lit(True).alias("known")).where("key is not null").distinct())
+        marks = {(r.key, r.sure, r.unclear) for r in unclear.collect()}
+        assert rules.weights(docs, trusted) == got == plain
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(u for _, _, u in marks) > 50 and (None, False, False) in marks
+    assert all(u or s == (k is not None and int(k) in ids) for k, s, u in marks)
+    assert moved < sum(len(t) for _, t in rows) / 3

@@ -118,6 +118,31 @@ def sized(spark: SparkSession, rows: int, most: int | None = None) -> Iterator[N
         spark.conf.set(name, was)
 
 
+#: Bits of a bitmap's row, and rows of a bitmap (4 KB each) that are broadcast at most.
+CHUNK_BITS, MOST_CHUNKS = 1 << 15, 8192
+
+
+def has_bit(bitmap: Column, bit: Column) -> Column:
+    """Whether a bitmap has a bit; no bitmap has none."""
+    byte = F.conv(F.hex(F.substr(bitmap, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+
+def only(rows: DataFrame, need: DataFrame, column: str, name: str) -> DataFrame:
+    """The rows whose `column` (long, not null) is one of need's, which are stored: as a left semi join, but rows stay where they are.
+
+    A bitmap of need is broadcast: of row numbers, which are dense, one bit each. Numbers so far apart or so many that it has more than
+    MOST_CHUNKS rows are joined as Spark sees fit.
+    """
+    chunk, bit = F.shiftright(column, CHUNK_BITS.bit_length() - 1).alias("_chunk"), F.col(column).bitwiseAND(F.lit(CHUNK_BITS - 1))
+    if need.select(chunk).distinct().count() > MOST_CHUNKS:
+        return rows.join(need, column, "left_semi")
+    # dealt by chunk before the bitmaps are made, so that no task sends more than its rows
+    maps = need.select(chunk, bit.alias("_bit")).repartition("_chunk").groupBy("_chunk").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    maps = Stored(maps, name).read()
+    return rows.withColumn("_chunk", chunk).join(F.broadcast(maps), "_chunk").where(has_bit(F.col("_bits"), bit)).select(*rows.columns)
+
+
 def bucket_of(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n. A null id counts as an empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE
+from tessera.llm.common import CHUNK_BITS, SPACE, has_bit
 
 #: Buckets of each kind of n-gram: single words, pairs of neighbouring words, words' closing characters.
 BUCKETS, KINDS = 8192, 3
@@ -17,8 +17,8 @@ SMOOTHING = 1.0
 #: A document stays if its mean log-likelihood ratio is this at least.
 THRESHOLD = -0.2
 
-#: Bits of a bitmap's row; bits for each document, and the least and most of them in a bitmap (two of 16 MB are broadcast at most).
-CHUNK_BITS, BITS_A_KEY, LEAST_BITS, MOST_BITS = 1 << 15, 4, 1 << 21, 1 << 27
+#: Bits for each document, and the least and most of them in a bitmap (two of 16 MB are broadcast at most).
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 4, 1 << 21, 1 << 27
 
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
 
@@ -75,12 +75,6 @@ def _places(key: Column, bits: int) -> list[Column]:
     return [F.floor(at / F.lit(CHUNK_BITS)).cast("int").alias("chunk"), F.pmod(at, F.lit(CHUNK_BITS)).alias("bit")]
 
 
-def _has(bitmap: Column, bit: Column) -> Column:
-    """Whether a bitmap has a bit; no bitmap has none."""
-    byte = F.conv(F.hex(F.substr(bitmap, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-
-
 def _trusted_or_unclear(source: DataFrame, ids: DataFrame) -> DataFrame:
     """source (key, t) with two booleans: `sure`, the key is one of ids; `unclear`, only a join with ids can tell.
 
@@ -96,7 +90,7 @@ def _trusted_or_unclear(source: DataFrame, ids: DataFrame) -> DataFrame:
     maps = placed.groupBy("chunk").agg(of(F.col("found")).alias("yes"), of(~F.col("found")).alias("no"))
     marked = source.select("key", "t", *_places(F.col("key"), bits)).withColumn("chunk", F.when(F.col("key").isNotNull(), F.col("chunk")))
     marked = marked.join(F.broadcast(maps), "chunk", "left")  # at most MOST_BITS / CHUNK_BITS rows
-    yes, no = _has(F.col("yes"), F.col("bit")), _has(F.col("no"), F.col("bit"))
+    yes, no = has_bit(F.col("yes"), F.col("bit")), has_bit(F.col("no"), F.col("bit"))
     return marked.select("key", "t", (yes & ~no).alias("sure"), (yes & no).alias("unclear"))
 
 

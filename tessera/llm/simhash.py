@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stored, ship
+from tessera.llm.common import Stored, only, ship, stored_alone
 from tessera.llm.components import connected_components
 
 SEED = 42
@@ -293,13 +293,17 @@ def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     """
     rows = Stored(docs.withColumn("_tessera_row", F.monotonically_increasing_id()), "documents").read()
     own = rows.select(F.col("_tessera_row").alias("node"), F.col(id_col).alias("_id"), F.col(text).alias("t"))
-    if similarity is None:
-        of = simhash_components(own, "t", "node", radius, width or 3).select(F.col("doc_id").alias("node"), F.col("component_id").alias("root"))
-    else:
-        from tessera.llm.similar import similar_components
 
-        of = similar_components(own.select("node", "t"), "t", width or 5, similarity)
-    named = own.select("node", "_id").join(of, "node")
-    keep = named.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "node")).alias("least")).select(F.col("least.node").alias("_tessera_row"))
-    keep = Stored(keep, "kept-rows").read()  # stored, so that its size is known: documents stay where they are if Spark broadcasts it, which it does by size alone
-    return rows.join(keep, "_tessera_row", "left_semi").select(*docs.columns)
+    def kept() -> DataFrame:
+        if similarity is None:
+            of = simhash_components(own, "t", "node", radius, width or 3).select(F.col("doc_id").alias("node"), F.col("component_id").alias("root"))
+        else:
+            from tessera.llm.similar import similar_components
+
+            of = similar_components(own.select("node", "t"), "t", width or 5, similarity)
+        named = own.select("node", "_id").join(of, "node")
+        least = named.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "node")).alias("least"))
+        return least.select(F.col("least.node").alias("_tessera_row"))
+
+    keep = stored_alone(docs.sparkSession, "kept-rows", kept)
+    return only(rows, keep, "_tessera_row", "kept-bits").select(*docs.columns)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stored, pair_hash, shuffle_partitions, sized, ship, stored_alone
+from tessera.llm.common import Stored, only, pair_hash, shuffle_partitions, sized, ship, stored_alone
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import Forest, deal, majority, near_pairs, whole_tasks
 
@@ -127,10 +127,9 @@ def similar_components(rows: DataFrame, text: str = "text", width: int = 5, simi
 
 def _similar(pairs: DataFrame, rows: DataFrame, text: str, width: int, percent: int, partitions: int) -> DataFrame:
     """The pairs (u, v) whose whole sets have the similarity. Only their texts are read again."""
-    # stored, so that its size is known: texts stay where they are if Spark broadcasts it, which it does by size alone
     need = Stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "similar-need").read()
-    with sized(rows.sparkSession, 1 << 60, partitions):  # texts may move
-        sets = Stored(_sets(rows.join(need, "node", "left_semi"), text, width), "similar-sets").read()
+    with sized(rows.sparkSession, 1 << 60, partitions):  # texts move if no bitmap holds their numbers
+        sets = Stored(_sets(only(rows, need, "node", "similar-bits"), text, width), "similar-sets").read()
     a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "uv")
     same = F.size(F.array_intersect("hu", "hv"))
     return pairs.join(a, "u").join(b, "v").where(same * (100 + percent) >= (F.size("hu") + F.size("hv")) * percent).select("u", "v")

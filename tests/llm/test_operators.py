@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import components, embeddings, html, langid, lm, packing, pieces, quality, registry, rules, sharding, simhash
+from tessera.llm import common, components, embeddings, html, langid, lm, packing, pieces, quality, registry, rules, sharding, simhash
 from tests.llm.test_small import PAGE, brute_fingerprint
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, FP long, row string, node long, t string, score double, n long, gid string, label int, fold int, block long"
@@ -506,3 +506,28 @@ def test_texts_of_trusted_documents_stay_in_place(spark, monkeypatch):
     assert sum(u for _, _, u in marks) > 50 and (None, False, False) in marks
     assert all(u or s == (k is not None and int(k) in ids) for k, s, u in marks)
     assert moved < sum(len(t) for _, t in rows) / 3
+
+
+@pytest.mark.parametrize("most", [8192, 1])
+def test_documents_stay_in_place(spark, most, monkeypatch):
+    """Even where Spark broadcasts no row numbers; numbers too far apart for a bitmap are joined. What is stored on the way goes."""
+    monkeypatch.setattr(common, "MOST_CHUNKS", most)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 62, 500).tolist())) for _ in range(300)]
+    texts += [" ".join(t.split()[:495]) for t in texts[:60]] + texts[100:120]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6).cache()
+    docs.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before, tables = shuffled_bytes(spark), len(common._tables(spark))
+        kept = simhash.drop_near_copies(docs, similarity=0.8)
+        middle = shuffled_bytes(spark)
+        assert {r.doc_id for r in kept.collect()} == set(range(300))
+        if most > 1:
+            assert shuffled_bytes(spark) - middle < 100_000 < sum(map(len, texts)) / 30
+            assert len(common._tables(spark)) - tables == 3  # documents, kept rows and their bitmap
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    numbers = spark.createDataFrame([(i,) for i in (-(1 << 63), -1, 0, 7, 32767, 32768, 1 << 33, (1 << 63) - 1)], "node long")
+    need = spark.createDataFrame([(i,) for i in (-(1 << 63), 7, 32768, (1 << 63) - 1, 6, -2)], "node long")
+    assert {r.node for r in common.only(numbers, need, "node", "bits").collect()} == {-(1 << 63), 7, 32768, (1 << 63) - 1}
